@@ -13,6 +13,7 @@ from tidemark.functions.calendar import doy_month, month_start, period, period_m
 from tidemark.settings import Settings
 
 PAIR = ["entity_id", "period"]
+LOCATION_SALTS = 16
 
 
 def flow_monthly(
@@ -28,10 +29,19 @@ def flow_monthly(
 
 
 def generation_base(monthly: DataFrame, locations: DataFrame) -> DataFrame:
-    """The location's monthly values repeated for each entity mapped to it."""
-    mapped = locations.select("entity_id", F.col("eia_location").alias("location"))
+    """The location's monthly values repeated for each entity mapped to it.
+
+    One location may carry most entities, so its entities are spread over salts and
+    its few months repeated for each.
+    """
+    salt = F.pmod(F.xxhash64("entity_id"), F.lit(LOCATION_SALTS)).cast("int")
+    mapped = locations.select(
+        "entity_id", F.col("eia_location").alias("location"), salt.alias("_salt")
+    )
+    salts = F.sequence(F.lit(0), F.lit(LOCATION_SALTS - 1))
     return (
-        monthly.join(mapped, "location")
+        monthly.withColumn("_salt", F.explode(salts))
+        .join(mapped, ["location", "_salt"])
         .select(*PAIR, "generation_thousand_mwh")
         .dropna()
     )

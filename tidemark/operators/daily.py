@@ -43,22 +43,29 @@ def with_percentile(daily: DataFrame) -> DataFrame:
 def with_changes(daily: DataFrame) -> DataFrame:
     """Change features of observed days, looked up by calendar distance.
 
-    A frame that holds exactly the day k days back is empty when that day has no
-    observation, so a difference across a gap is null.
+    Among the k rows before a day, the one exactly k days back is the only one that
+    counts; without it the difference would span a gap and is null.
     """
-    by_day = Window.partitionBy(*SERIES).orderBy("_day")
+    by_day = Window.partitionBy(*SERIES).orderBy("observed_at")
     value = F.col("average")
-    back = {k: F.max(value).over(by_day.rangeBetween(-k, -k)) for k in (1, 3)}
+
+    def days_back(k: int) -> Column:
+        rows = [
+            F.when(F.datediff("observed_at", F.lag("observed_at", i).over(by_day)) == k,
+                   F.lag("average", i).over(by_day))
+            for i in range(1, k + 1)
+        ]
+        return F.coalesce(*rows)
+
     return (
-        daily.withColumn("_day", F.unix_date("observed_at"))
-        .withColumns({
-            "daily_change": value - back[1],
-            "rise_rate_3d": (value - back[3]) / 3.0,
+        daily.withColumns({
+            "daily_change": value - days_back(1),
+            "rise_rate_3d": (value - days_back(3)) / 3.0,
             "_peak": F.max(value).over(Window.partitionBy(*SERIES)),
             "_next": F.lead("observed_at").over(by_day),
         })
         .withColumn("record_proximity", F.try_divide(value, F.col("_peak")))
-        .drop("_day", "_peak")
+        .drop("_peak")
     )
 
 
@@ -66,16 +73,18 @@ def fill_calendar(daily: DataFrame, today: Column, values: list[str]) -> DataFra
     """Repeat each row over the unobserved days that follow it, values nulled.
 
     ``_next`` is the series' next observed day.  Extending rows forward gives the
-    dense calendar without building a grid and joining it.
+    dense calendar without building a grid and joining it.  Day numbers are used for
+    the sequence, as stepping through dates is much slower.
     """
-    last = F.coalesce(F.date_sub("_next", 1), today)
+    first = F.unix_date("observed_at")
+    last = F.coalesce(F.unix_date("_next") - 1, F.unix_date(today))
     kept = [c for c in daily.columns if c not in {*values, "observed_at", "_next"}]
     return (
-        daily.withColumn("_day", F.explode(F.sequence("observed_at", last)))
+        daily.withColumn("_day", F.explode(F.sequence(first, last)))
         .select(
             *kept,
-            F.col("_day").alias("observed_at"),
-            *[F.when(F.col("_day") == F.col("observed_at"), F.col(v)).alias(v) for v in values],
+            F.date_from_unix_date("_day").alias("observed_at"),
+            *[F.when(F.col("_day") == first, F.col(v)).alias(v) for v in values],
         )
     )
 

@@ -9,10 +9,11 @@ from tidemark.session import pinned
 
 
 def competition_rank(
-    df: DataFrame, group: list[str], value: str, out: str, buckets: int = 64
+    df: DataFrame, group: list[str], value: str, out: str, size: str, buckets: int = 64
 ) -> DataFrame:
-    """Add 1 + the number of larger values in the group; null for a null value.
+    """Add ``out``, 1 + the number of larger values in the group, and its ``size``.
 
+    Both are null for a null value, which is not counted either.
     Exact for any distribution.  Values are first counted, so one shared by most
     rows becomes a single row, then split into ordered buckets at approximate
     percentiles of their group.  A rank is the count in higher buckets plus the
@@ -38,7 +39,11 @@ def competition_rank(
     )
     above = (
         split.groupBy("_group", "_bucket").agg(F.sum("_n").alias("_total"))
-        .select("_group", "_bucket", F.sum("_total").over(by_bucket).alias("_above"))
+        .select(
+            "_group", "_bucket",
+            F.sum("_total").over(by_bucket).alias("_above"),
+            F.sum("_total").over(Window.partitionBy("_group")).alias(size),
+        )
     )
     ranks = (
         split.withColumn("_larger", F.sum("_n").over(inside))
@@ -46,6 +51,7 @@ def competition_rank(
         .select(
             "_group", "_value",
             (F.coalesce("_above", F.lit(0)) + F.coalesce("_larger", F.lit(0)) + 1).alias(out),
+            size,
         )
     )
     return df.join(ranks, ["_group", "_value"], "left").drop("_group", "_value")

@@ -106,6 +106,7 @@ def fetch_window(
 
 
 def only_in(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
-    """Distinct keys of ``left`` that ``right`` lacks."""
+    """Distinct keys of ``left`` that ``right`` lacks; both are reduced before they meet."""
     names = [key] if isinstance(key, str) else key
-    return left.select(*names).distinct().join(right.select(*names), names, "left_anti")
+    present = right.select(*names).distinct()
+    return left.select(*names).distinct().join(present, names, "left_anti")

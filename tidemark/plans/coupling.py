@@ -61,25 +61,29 @@ def ranked_coupling(final: DataFrame, geo: DataFrame, tier: str = "tight") -> Da
 
 
 def gauge_series(pairs: DataFrame, entity_id: str | None = None) -> DataFrame:
-    """Aligned months of one entity, or of all, in order."""
-    rows = pairs if entity_id is None else pairs.filter(F.col("entity_id") == entity_id)
-    return rows.select(
+    """Aligned months of one entity in order, or of all in no order."""
+    rows = pairs.select(
         "entity_id", "period", "mean_flow_cfs", "generation_thousand_mwh", "confidence"
-    ).orderBy("entity_id", "period")
+    )
+    if entity_id is None:
+        return rows
+    return rows.filter(F.col("entity_id") == entity_id).orderBy("period")
 
 
 def location_generation(
     pairs: DataFrame, locations: DataFrame, location: str | None = None
 ) -> DataFrame:
-    """Monthly generation per entity of a location; one row per entity, not summed."""
+    """Monthly generation per entity of a location; one row per entity, not summed.
+
+    Ordered for a single location only.
+    """
     mapped = locations.select("entity_id", "eia_location")
     if location is not None:
         mapped = mapped.filter(F.col("eia_location") == location)
-    return (
-        pairs.join(mapped, "entity_id")
-        .select("entity_id", "eia_location", "period", "generation_thousand_mwh")
-        .orderBy("eia_location", "period", "entity_id")
+    rows = pairs.join(mapped, "entity_id").select(
+        "entity_id", "eia_location", "period", "generation_thousand_mwh"
     )
+    return rows if location is None else rows.orderBy("period", "entity_id")
 
 
 def location_totals(pairs: DataFrame, locations: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def location_scores(pairs: DataFrame, locations: DataFrame) -> DataFrame:
     )
 
 
-def _tight_location(final: DataFrame, locations: DataFrame) -> DataFrame:
+def _tight_location(final: DataFrame) -> DataFrame:
     return in_tier(final).select("entity_id", "eia_location")
 
 
@@ -125,7 +129,7 @@ def overlay(
     """
     return (
         flow_scores(pairs, entity_id)
-        .join(_tight_location(final, locations), "entity_id", "left")
+        .join(_tight_location(final), "entity_id", "left")
         .join(location_scores(pairs, locations), ["eia_location", "period"], "left")
         .select(
             "entity_id", "period", "flow_z", "gen_z",
@@ -154,7 +158,7 @@ def next_month_pairs(
     )
     return (
         flow_scores(pairs, entity_id)
-        .join(_tight_location(final, locations), "entity_id")
+        .join(_tight_location(final), "entity_id")
         .join(later, ["eia_location", "period"])
         .select("entity_id", "period", "flow_z", "gen_next_z")
         .dropna()

@@ -129,15 +129,17 @@ def top_anomaly_dates(category: DataFrame, n: int = 2) -> DataFrame:
 def anomaly_breakdown(
     daily: DataFrame, stations: DataFrame, day: date | None = None, cfg: Settings = Settings()
 ) -> DataFrame:
-    """Extreme entities of a day, or of all days, strongest first."""
+    """Extreme entities of a day, strongest first, or of all days in no order."""
     rows = daily if day is None else on_day(daily, "observed_at", day)
-    return (
+    found = (
         rows.filter(scores.is_extreme(F.col("anomaly_score"), cfg.extreme_z))
         .join(stations.select("entity_id", "station_name", "region"), "entity_id")
         .select("observed_at", "entity_id", "station_name", "region", "metric",
                 "anomaly_score", "average")
-        .orderBy(F.abs("anomaly_score").desc_nulls_last(), "entity_id", "metric", "observed_at")
     )
+    if day is None:
+        return found
+    return found.orderBy(F.abs("anomaly_score").desc_nulls_last(), "entity_id", "metric")
 
 
 def monthly_anomaly_counts(category: DataFrame) -> DataFrame:
@@ -160,17 +162,19 @@ def monthly_anomaly_counts(category: DataFrame) -> DataFrame:
 def marker_sizes(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Add ``marker_size``: 5..20 by square root within the keys, 8 when unknown.
 
-    The range is an aggregate joined back, so no group is pulled into one task.
+    The range is an aggregate, so no group is pulled into one task.  Without keys it
+    is a scalar; otherwise it is joined back.
     """
     root = F.when(F.col(value) >= 0, F.sqrt(value))
-    ranges = df.groupBy(*keys).agg(F.min(root).alias("_lo"), F.max(root).alias("_hi"))
+    ends = F.min(root).alias("_lo"), F.max(root).alias("_hi")
+    if keys:
+        df = df.join(df.groupBy(*keys).agg(*ends), keys, "left")
+    else:
+        span = df.agg(F.struct(*ends)).scalar()
+        df = df.withColumns({"_lo": span["_lo"], "_hi": span["_hi"]})
     scaled = 5.0 + 15.0 * (root - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     size = F.when((F.col("_hi") > F.col("_lo")) & root.isNotNull(), F.bround(scaled, 1))
-    return (
-        df.join(ranges, keys, "left")
-        .withColumn("marker_size", F.coalesce(size, F.lit(8.0)))
-        .drop("_lo", "_hi")
-    )
+    return df.withColumn("marker_size", F.coalesce(size, F.lit(8.0))).drop("_lo", "_hi")
 
 
 def map_data(
@@ -181,7 +185,8 @@ def map_data(
         "entity_id", "station_name", "latitude", "longitude", "metric",
         F.col("average").alias("value"), "anomaly_score", "flow_percentile", "region", "state",
     )
-    return marker_sizes(placed, "value", ["metric"]).withColumn(
+    keys = [] if metric else ["metric"]
+    return marker_sizes(placed, "value", keys).withColumn(
         "z_code", classify.z_code(F.col("anomaly_score"))
     )
 

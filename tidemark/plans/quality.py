@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.upsert import only_in
+from tidemark.session import pinned
 from tidemark.settings import Settings
 
-IDENTITY = ["entity_id", "observed_at", "metric"]
-
-
 def _status(good: Column, soft: bool = False) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), "ok").otherwise("warn" if soft else "fail")
 
@@ -38,26 +36,42 @@ def row_counts(layers: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_checks(raw: DataFrame, today: date, cfg: Settings = Settings()) -> DataFrame:
-    """Identity nulls, share of null values and freshness, in one pass."""
-    one = raw.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in IDENTITY],
-        F.avg(F.col("value").isNull().cast("int")).alias("null_share"),
+def raw_profile(raw: DataFrame) -> DataFrame:
+    """Rows, missing dates, missing values and newest day per entity and metric."""
+    return raw.groupBy("entity_id", "metric").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("observed_at").isNull()).alias("no_date"),
+        F.count_if(F.col("value").isNull()).alias("no_value"),
         F.max("observed_at").alias("newest"),
     )
+
+
+def raw_checks(profile: DataFrame, today: date, cfg: Settings = Settings()) -> DataFrame:
+    """Row count, identity nulls, share of null values and freshness."""
+    one = profile.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.sum(F.when(F.col("entity_id").isNull(), F.col("n")).otherwise(0)).alias("no_entity"),
+        F.sum(F.when(F.col("metric").isNull(), F.col("n")).otherwise(0)).alias("no_metric"),
+        F.sum("no_date").alias("no_date"),
+        F.try_divide(F.sum("no_value"), F.sum("n")).alias("null_share"),
+        F.max("newest").alias("newest"),
+    )
     age = F.datediff(F.lit(today), F.col("newest"))
+    identity = {"entity_id": "no_entity", "observed_at": "no_date", "metric": "no_metric"}
     return _unpivot(one, [
-        *[("identity_nulls", c, F.col(f"null_{c}"), _status(F.col(f"null_{c}") == 0))
-          for c in IDENTITY],
+        ("row_count", "raw_observations", F.col("n"), _status(F.col("n") > 0)),
+        *[("identity_nulls", c, F.col(n), _status(F.col(n) == 0)) for c, n in identity.items()],
         ("value_null_share", "value", F.col("null_share"),
          _status(F.col("null_share") <= cfg.null_value_tolerance)),
         ("days_old", "observed_at", age, _status(age <= cfg.stale_after_days, soft=True)),
     ])
 
 
-def missing_members(raw: DataFrame, expected: DataFrame, key: str, soft: bool) -> DataFrame:
-    """How many expected members the raw layer lacks."""
-    lacking = only_in(expected, raw, key).agg(F.count("*").alias("n"))
+def missing_members(
+    present: DataFrame, expected: DataFrame, key: str, soft: bool = False
+) -> DataFrame:
+    """How many expected members are not present."""
+    lacking = only_in(expected, present, key).agg(F.count("*").alias("n"))
     return _unpivot(lacking, [(f"missing_{key}", key, F.col("n"), _status(F.col("n") == 0, soft))])
 
 
@@ -70,13 +84,12 @@ def health_report(
     raw: DataFrame, daily: DataFrame, category: DataFrame, stations: DataFrame, today: date,
     cfg: Settings = Settings(),
 ) -> DataFrame:
-    layers = {
-        "raw_observations": raw, "daily_entity_metrics": daily, "daily_category_metrics": category,
-    }
+    """All checks.  Runs a job: the raw layer is read once, into a profile."""
+    profile = pinned(raw_profile(raw))
     parts = [
-        row_counts(layers),
-        column_checks(raw, today, cfg),
-        missing_members(raw, expected_metrics(raw.sparkSession, cfg), "metric", soft=False),
-        missing_members(raw, stations, "entity_id", soft=True),
+        row_counts({"daily_entity_metrics": daily, "daily_category_metrics": category}),
+        raw_checks(profile, today, cfg),
+        missing_members(profile, expected_metrics(raw.sparkSession, cfg), "metric"),
+        missing_members(profile, stations, "entity_id", soft=True),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -150,14 +150,10 @@ def ranked_flashiness(
 
     Runs a job: the index is checkpointed before it is ranked.
     """
-    group = ["region", "metric", "year"]
-    ranked = competition_rank(
-        flashiness(daily, stations, metric, year), group, "flashiness_index", "region_rank"
-    )
-    sizes = ranked.groupBy(*group).agg(F.count("*").alias("n_gauges"))
-    return ranked.join(sizes, group).withColumn(
-        "flashiness_class", classify.flashiness_class(F.col("flashiness_index"))
-    )
+    return competition_rank(
+        flashiness(daily, stations, metric, year), ["region", "metric", "year"],
+        "flashiness_index", "region_rank", "n_gauges",
+    ).withColumn("flashiness_class", classify.flashiness_class(F.col("flashiness_index")))
 
 
 def flashiness_of(
@@ -246,14 +242,12 @@ def all_personality_cards(
 def previous_year(
     daily: DataFrame, metric: str | None, year: int, entity_id: str | None = None
 ) -> DataFrame:
-    """Averages of the year before, moved onto the dates of ``year``."""
+    """Averages of the year before, moved onto the dates of ``year``; ordered for one entity."""
     rows = pick(daily, entity_id, metric).filter(F.col("year") == year - 1)
-    return (
-        rows.filter(F.col("average").isNotNull())
-        .select("entity_id", "metric",
-                plus_years(F.col("observed_at"), 1).alias("observed_at"), "average")
-        .orderBy("entity_id", "metric", "observed_at")
+    moved = rows.filter(F.col("average").isNotNull()).select(
+        "entity_id", "metric", plus_years(F.col("observed_at"), 1).alias("observed_at"), "average"
     )
+    return moved if entity_id is None else moved.orderBy("metric", "observed_at")
 
 
 def window_stats(

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no Python call-site capture for every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

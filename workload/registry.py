@@ -970,7 +970,7 @@ UNION ALL SELECT 'missing_entity_id', 'entity_id', n, CASE WHEN n = 0 THEN 'ok'
 """)
 def _(t: Tables) -> DataFrame:
     return quality.health_report(
-        t.raw(), t.daily(), t.category(), t.stations(), TODAY, CFG)
+        t.landed(), t.daily(), t.category(), t.stations(), TODAY, CFG)
 
 
 @query("st1_upsert_stream", OBS, """

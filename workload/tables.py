@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from tidemark import Settings, schemas
 from tidemark.operators import coupling
 from tidemark.operators.daily import daily_stats
+from tidemark.operators.upsert import latest_wins, unique_observations
 from tidemark.plans import build
 from tidemark.session import shared_dir
-from tidemark.sources import landed
+from tidemark.sources import landed, layers, sinks
 
 CFG = Settings(
     baseline_start=date(1995, 1, 1),
@@ -51,11 +52,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._given: dict[str, DataFrame] = {}
         self._built: set[str] = set()
         self._store: build.Store | None = None
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._given:
+            self._given[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._given[name]
 
     # -- roles -------------------------------------------------------------
 
@@ -78,7 +82,7 @@ class Tables:
                 ["entity_id", "observed_at"], ["price", "quantity", "discount"], "metric", "value")
         )
 
-    def stations(self) -> DataFrame:
+    def station_rows(self) -> DataFrame:
         key = F.col("n_nationkey")
         return (
             self.given("nation")
@@ -236,13 +240,25 @@ class Tables:
             job()
             self._built.add(name)
 
+    def stations(self) -> DataFrame:
+        """The station dimension as a stored table, so that its size is known to the planner."""
+        path = self.store.path("stations")
+        self._once("stations", lambda: sinks.write_table(self.station_rows(), path))
+        return layers.read_table(self.spark, path, self.station_rows().schema)
+
+    def landed(self) -> DataFrame:
+        """The raw observations as a stored layer, the input of every later layer."""
+        path = self.store.path("landed")
+        self._once("landed", lambda: sinks.write_raw(self.raw(), path))
+        return layers.read_layer(self.spark, path, self.raw().schema)
+
     def baselines(self) -> DataFrame:
-        self._once("baselines", lambda: build.build_baselines(self.store, self.raw(), CFG))
+        self._once("baselines", lambda: build.build_baselines(self.store, self.landed(), CFG))
         return self.store.baselines()
 
     def daily(self) -> DataFrame:
         self.baselines()
-        self._once("daily", lambda: build.build_daily(self.store, self.raw()))
+        self._once("daily", lambda: build.build_daily(self.store, self.landed()))
         return self.store.daily()
 
     def category(self) -> DataFrame:
@@ -267,9 +283,6 @@ class Tables:
 
     def raw_layer(self) -> build.Store:
         """A raw layer on disk: the morning snapshot, then the re-fetch merged into it."""
-        from tidemark.operators.upsert import latest_wins, unique_observations
-        from tidemark.sources import sinks
-
         def job() -> None:
             empty = self.spark.createDataFrame([], schemas.RAW_OBSERVATIONS)
             sinks.write_raw(
