@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import scores
+from tidemark.functions.calendar import DOY_CYCLE
 
 SERIES = ["entity_id", "metric"]
 
@@ -89,6 +90,19 @@ def fill_calendar(daily: DataFrame, today: Column, values: list[str]) -> DataFra
     )
 
 
+def seasonal_profile(baselines: DataFrame) -> DataFrame:
+    """One row per series: arrays of mu and sigma, indexed by day-of-year − 1."""
+    days = F.array_sort(F.collect_list(F.struct("day_of_year", "mu", "sigma")))
+    complete = F.size("_days") == DOY_CYCLE
+    broken = F.raise_error(F.concat_ws(
+        " ", F.lit("baselines lack days-of-year for"), *SERIES)).cast("array<double>")
+    return baselines.groupBy(*SERIES).agg(days.alias("_days")).select(
+        *SERIES,
+        F.when(complete, F.col("_days.mu")).otherwise(broken).alias("_mu"),
+        F.when(complete, F.col("_days.sigma")).otherwise(broken).alias("_sigma"),
+    )
+
+
 def last_day(daily: DataFrame) -> Column:
     """Newest observed day, as a scalar subquery."""
     return daily.agg(F.max("observed_at")).scalar()
@@ -100,8 +114,8 @@ def daily_entity_metrics(
     """The dense daily layer, first observed day of a series .. ``today``.
 
     ``daily`` comes from :func:`daily_stats`.  All windows share the partitioning
-    by series; the join with the baselines is keyed by series and day-of-year, so
-    it needs no further shuffle of the daily rows.
+    by series, and so does the join with the baselines: it is keyed by the series
+    alone, the day-of-year being looked up in the joined profile.
     """
     ranked = with_percentile(daily)
     if today is None:
@@ -110,13 +124,11 @@ def daily_entity_metrics(
         end = today if isinstance(today, Column) else F.lit(today)
         ranked = ranked.filter(F.col("observed_at") <= end)
     changed = with_changes(ranked)
-    seasonal = baselines.select(*SERIES, F.col("day_of_year").alias("_doy"), "mu", "sigma")
-    scored = (
-        changed.withColumn("_doy", F.dayofyear("observed_at"))
-        .join(seasonal, [*SERIES, "_doy"], "left")
-        .withColumn("anomaly_score", scores.z_score(F.col("average"), F.col("mu"), F.col("sigma")))
-        .drop("_doy", "mu", "sigma")
-    )
+    doy = F.dayofyear("observed_at") - 1
+    scored = changed.join(seasonal_profile(baselines), SERIES, "left").withColumn(
+        "anomaly_score",
+        scores.z_score(F.col("average"), F.get("_mu", doy), F.get("_sigma", doy)),
+    ).drop("_mu", "_sigma")
     values = [
         "observation_count", "minimum", "maximum", "average", "daily_change",
         "rise_rate_3d", "flow_percentile", "anomaly_score", "record_proximity",

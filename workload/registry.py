@@ -441,11 +441,20 @@ def _(t: Tables) -> DataFrame:
     return series.ranked_flashiness(t.daily(), t.stations())
 
 
+ONE_SQL = f"""
+SELECT e.entity_id, {DAY.year} AS year, s.region, f.flashiness_index,
+       coalesce(f.n_days, 0) AS n_days, f.region_rank, f.flashiness_class,
+       (SELECT count(*) FROM flashiness p WHERE p.region = s.region AND p.metric = '{METRIC}'
+        AND p.year = {DAY.year}) AS n_gauges
+FROM (SELECT '{ENTITY}' AS entity_id) e LEFT JOIN stations s USING (entity_id)
+LEFT JOIN (SELECT * FROM ranked_flashiness
+           WHERE metric = '{METRIC}' AND year = {DAY.year}) f USING (entity_id)
+"""
+
+
 @query("q13_flashiness_of_one",
        "entity_id s, year i, region s, flashiness_index d6, n_days i, region_rank i, n_gauges i, "
-       "flashiness_class s",
-       f"SELECT * FROM ranked_flashiness WHERE entity_id = '{ENTITY}' AND metric = '{METRIC}' "
-       f"AND year = {DAY.year}")
+       "flashiness_class s", ONE_SQL)
 def _(t: Tables) -> DataFrame:
     return series.flashiness_of(t.daily(), t.stations(), ENTITY, METRIC, DAY.year)
 
@@ -471,8 +480,15 @@ def _(t: Tables) -> DataFrame:
     return series.all_personality_cards(t.daily(), t.stations(), METRIC, DAY)
 
 
-@query("q14_personality_cards_of_one", CARDS,
-       f"SELECT * FROM ({CARDS_SQL}) WHERE entity_id = '{ENTITY}'")
+@query("q14_personality_cards_of_one", CARDS, f"""
+SELECT o.*, o.region_rank AS flashiness_rank, d.average, d.flow_percentile, d.record_proximity,
+       (SELECT max(average) FROM daily WHERE metric = '{METRIC}' AND entity_id = '{ENTITY}')
+         AS historical_max,
+       {PROXIMITY.format(p='d.record_proximity')} AS proximity_class
+FROM ({ONE_SQL}) o
+LEFT JOIN (SELECT * FROM daily WHERE metric = '{METRIC}' AND observed_at = {DAY_SQL}) d
+  USING (entity_id)
+""")
 def _(t: Tables) -> DataFrame:
     return series.personality_cards(t.daily(), t.stations(), ENTITY, METRIC, DAY)
 
