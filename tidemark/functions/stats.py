@@ -22,7 +22,8 @@ def pearson(x: Column, y: Column) -> Column:
     px, py = F.when(both, x), F.when(both, y)
     spread = F.stddev_samp(px) * F.stddev_samp(py)
     r = F.try_divide(F.covar_samp(px, py), spread)
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    # greatest/least would replace a null by the bound
+    return F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r)
 
 
 def average_rank(partition: list[str], value: str) -> Column:
