@@ -107,3 +107,11 @@ def test_layer_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: []" not in plan and "DataFilters: []" in plan
     layers.register(tm_raw=layer)
     assert spark.sql("SELECT count(*) AS n FROM tm_raw").first().n == 4
+
+
+def test_repeated_station_is_kept_once(spark):
+    rows = spark.createDataFrame(
+        [("E-1", {"id": None, "monitoring_location_name": n}, None) for n in ("x", "y")]
+        + [(None, {"monitoring_location_name": "none"}, None)], schemas.STATION_FEATURE)
+    got = landed.station_rows(rows).collect()
+    assert [(r.entity_id, r.station_name) for r in got] == [("E-1", "y")]

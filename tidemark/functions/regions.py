@@ -9,56 +9,72 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown"
 
-# Region of each group of postal abbreviations.
-REGION_STATES = {
-    "Pacific Northwest": "AK HI ID OR WA",
-    "California": "CA",
-    "Great Basin/Southwest": "AZ NM NV UT",
-    "Colorado River basin": "CO WY",
-    "Upper Midwest/Missouri": "IA IL KS MN MO MT ND NE SD WI",
-    "Mississippi basin": "AL AR IN KY LA MS OH TN",
-    "Gulf Coast/Southeast": "FL GA NC SC VA WV",
-    "Northeast/Mid-Atlantic": "CT DC DE MA MD ME NH NJ NY PA RI VT",
-}
-
-# State name, postal abbreviation, two-digit state code.
+# State name, postal abbreviation, two-digit state code, region.
 STATES = [
-    ("ALABAMA", "AL", "01"), ("ALASKA", "AK", "02"), ("ARIZONA", "AZ", "04"),
-    ("ARKANSAS", "AR", "05"), ("CALIFORNIA", "CA", "06"), ("COLORADO", "CO", "08"),
-    ("CONNECTICUT", "CT", "09"), ("DELAWARE", "DE", "10"),
-    ("DISTRICT OF COLUMBIA", "DC", "11"), ("FLORIDA", "FL", "12"),
-    ("GEORGIA", "GA", "13"), ("HAWAII", "HI", "15"), ("IDAHO", "ID", "16"),
-    ("ILLINOIS", "IL", "17"), ("INDIANA", "IN", "18"), ("IOWA", "IA", "19"),
-    ("KANSAS", "KS", "20"), ("KENTUCKY", "KY", "21"), ("LOUISIANA", "LA", "22"),
-    ("MAINE", "ME", "23"), ("MARYLAND", "MD", "24"), ("MASSACHUSETTS", "MA", "25"),
-    ("MICHIGAN", "MI", "26"), ("MINNESOTA", "MN", "27"), ("MISSISSIPPI", "MS", "28"),
-    ("MISSOURI", "MO", "29"), ("MONTANA", "MT", "30"), ("NEBRASKA", "NE", "31"),
-    ("NEVADA", "NV", "32"), ("NEW HAMPSHIRE", "NH", "33"), ("NEW JERSEY", "NJ", "34"),
-    ("NEW MEXICO", "NM", "35"), ("NEW YORK", "NY", "36"), ("NORTH CAROLINA", "NC", "37"),
-    ("NORTH DAKOTA", "ND", "38"), ("OHIO", "OH", "39"), ("OKLAHOMA", "OK", "40"),
-    ("OREGON", "OR", "41"), ("PENNSYLVANIA", "PA", "42"), ("RHODE ISLAND", "RI", "44"),
-    ("SOUTH CAROLINA", "SC", "45"), ("SOUTH DAKOTA", "SD", "46"), ("TENNESSEE", "TN", "47"),
-    ("TEXAS", "TX", "48"), ("UTAH", "UT", "49"), ("VERMONT", "VT", "50"),
-    ("VIRGINIA", "VA", "51"), ("WASHINGTON", "WA", "53"), ("WEST VIRGINIA", "WV", "54"),
-    ("WISCONSIN", "WI", "55"), ("WYOMING", "WY", "56"),
+    ("ALABAMA", "AL", "01", "Mississippi basin"),
+    ("ALASKA", "AK", "02", "Pacific Northwest"),
+    ("ARIZONA", "AZ", "04", "Great Basin/Southwest"),
+    ("ARKANSAS", "AR", "05", "Mississippi basin"),
+    ("CALIFORNIA", "CA", "06", "California"),
+    ("COLORADO", "CO", "08", "Colorado River basin"),
+    ("CONNECTICUT", "CT", "09", "Northeast/Mid-Atlantic"),
+    ("DELAWARE", "DE", "10", "Northeast/Mid-Atlantic"),
+    ("DISTRICT OF COLUMBIA", "DC", "11", "Northeast/Mid-Atlantic"),
+    ("FLORIDA", "FL", "12", "Gulf Coast/Southeast"),
+    ("GEORGIA", "GA", "13", "Gulf Coast/Southeast"),
+    ("HAWAII", "HI", "15", "Pacific Northwest"),
+    ("IDAHO", "ID", "16", "Pacific Northwest"),
+    ("ILLINOIS", "IL", "17", "Upper Midwest/Missouri"),
+    ("INDIANA", "IN", "18", "Mississippi basin"),
+    ("IOWA", "IA", "19", "Upper Midwest/Missouri"),
+    ("KANSAS", "KS", "20", "Upper Midwest/Missouri"),
+    ("KENTUCKY", "KY", "21", "Mississippi basin"),
+    ("LOUISIANA", "LA", "22", "Mississippi basin"),
+    ("MAINE", "ME", "23", "Northeast/Mid-Atlantic"),
+    ("MARYLAND", "MD", "24", "Northeast/Mid-Atlantic"),
+    ("MASSACHUSETTS", "MA", "25", "Northeast/Mid-Atlantic"),
+    ("MICHIGAN", "MI", "26", None),
+    ("MINNESOTA", "MN", "27", "Upper Midwest/Missouri"),
+    ("MISSISSIPPI", "MS", "28", "Mississippi basin"),
+    ("MISSOURI", "MO", "29", "Upper Midwest/Missouri"),
+    ("MONTANA", "MT", "30", "Upper Midwest/Missouri"),
+    ("NEBRASKA", "NE", "31", "Upper Midwest/Missouri"),
+    ("NEVADA", "NV", "32", "Great Basin/Southwest"),
+    ("NEW HAMPSHIRE", "NH", "33", "Northeast/Mid-Atlantic"),
+    ("NEW JERSEY", "NJ", "34", "Northeast/Mid-Atlantic"),
+    ("NEW MEXICO", "NM", "35", "Great Basin/Southwest"),
+    ("NEW YORK", "NY", "36", "Northeast/Mid-Atlantic"),
+    ("NORTH CAROLINA", "NC", "37", "Gulf Coast/Southeast"),
+    ("NORTH DAKOTA", "ND", "38", "Upper Midwest/Missouri"),
+    ("OHIO", "OH", "39", "Mississippi basin"),
+    ("OKLAHOMA", "OK", "40", None),
+    ("OREGON", "OR", "41", "Pacific Northwest"),
+    ("PENNSYLVANIA", "PA", "42", "Northeast/Mid-Atlantic"),
+    ("RHODE ISLAND", "RI", "44", "Northeast/Mid-Atlantic"),
+    ("SOUTH CAROLINA", "SC", "45", "Gulf Coast/Southeast"),
+    ("SOUTH DAKOTA", "SD", "46", "Upper Midwest/Missouri"),
+    ("TENNESSEE", "TN", "47", "Mississippi basin"),
+    ("TEXAS", "TX", "48", None),
+    ("UTAH", "UT", "49", "Great Basin/Southwest"),
+    ("VERMONT", "VT", "50", "Northeast/Mid-Atlantic"),
+    ("VIRGINIA", "VA", "51", "Gulf Coast/Southeast"),
+    ("WASHINGTON", "WA", "53", "Pacific Northwest"),
+    ("WEST VIRGINIA", "WV", "54", "Gulf Coast/Southeast"),
+    ("WISCONSIN", "WI", "55", "Upper Midwest/Missouri"),
+    ("WYOMING", "WY", "56", "Colorado River basin"),
 ]
 
 
-def region_by_abbreviation() -> dict[str, str]:
-    return {abbr: region for region, group in REGION_STATES.items() for abbr in group.split()}
-
-
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    """Map literal lookup; the tables above are fixed, so no join is needed."""
+    """Map literal lookup; the table above is fixed, so no join is needed."""
     literal = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
     return F.try_element_at(literal, key)
 
 
 def region_of(state_name: Column, state_code: Column, curated: Column | None = None) -> Column:
     """Curated region, else by state name, else by state code, else 'Unknown'."""
-    regions = region_by_abbreviation()
-    by_name = {name: regions[abbr] for name, abbr, _ in STATES if abbr in regions}
-    by_code = {code: regions[abbr] for _, abbr, code in STATES if abbr in regions}
+    by_name = {name: region for name, _, _, region in STATES if region}
+    by_code = {code: region for _, _, code, region in STATES if region}
     derived = F.coalesce(
         _lookup(by_name, F.upper(F.trim(state_name))), _lookup(by_code, state_code), F.lit(UNKNOWN)
     )

@@ -31,6 +31,8 @@ def day_of_year_stats(raw: DataFrame, cfg: Settings) -> DataFrame:
         here = year.between(start, start + _BITS - 1)
         bit = F.expr(f"shiftleft(1L, year(observed_at) - {start})")
         maps.append(F.bit_or(F.when(here, bit).otherwise(F.lit(0).cast("long"))).alias(name))
+    if "year" in raw.columns:  # a stored layer: prune its folders
+        raw = raw.filter(F.col("year").between(cfg.baseline_start.year, cfg.baseline_end.year))
     return (
         observed(raw)
         .filter(F.col("observed_at").between(F.lit(cfg.baseline_start), F.lit(cfg.baseline_end)))

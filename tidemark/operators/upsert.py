@@ -15,7 +15,7 @@ REFRESHED = ["value", "unit", "latitude", "longitude",
              "approval_status", "qualifier", "raw_payload", "collected_at"]
 
 
-def _one_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
+def one_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
     """The row with the greatest ``order`` per key.
 
     An aggregate rather than a row number: copies of one key are reduced inside
@@ -30,7 +30,7 @@ def _one_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
 
 def unique_observations(df: DataFrame) -> DataFrame:
     """One row per observation key; the greatest payload is kept."""
-    return _one_per_key(df, OBSERVATION_KEY, F.struct("raw_payload", "collected_at", "value"))
+    return one_per_key(df, OBSERVATION_KEY, F.struct("raw_payload", "collected_at", "value"))
 
 
 def latest_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def latest_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
         schemas.conform(new, existing.schema).withColumn("_new", F.lit(1))
     )
     order = F.struct("collected_at", "_new", "raw_payload")
-    return _one_per_key(both, OBSERVATION_KEY, order).drop("_new")
+    return one_per_key(both, OBSERVATION_KEY, order).drop("_new")
 
 
 def upsert(existing: DataFrame, fetched: DataFrame) -> DataFrame:

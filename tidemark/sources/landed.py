@@ -12,7 +12,7 @@ from tidemark import schemas
 from tidemark.functions import classify
 from tidemark.functions.regions import region_of
 from tidemark.functions.text import payload_json
-from tidemark.operators.upsert import unique_observations
+from tidemark.operators.upsert import one_per_key, unique_observations
 
 # Parameter code -> metric name.
 METRIC_BY_CODE = {"00060": "streamflow", "00065": "gage_height", "00010": "water_temperature"}
@@ -74,9 +74,9 @@ def observations(
 
 
 def station_rows(feature_rows: DataFrame) -> DataFrame:
-    """Station-metadata features flattened; one row per id, the last page wins nothing special."""
+    """Station-metadata features flattened, one row per id."""
     p = "properties."
-    return feature_rows.select(
+    rows = feature_rows.select(
         F.coalesce(p + "id", "id").alias("entity_id"),
         F.col(p + "monitoring_location_name").alias("station_name"),
         F.coalesce(p + "state_name", F.lit("")).alias("state"),
@@ -85,14 +85,15 @@ def station_rows(feature_rows: DataFrame) -> DataFrame:
         _coordinate(0).alias("longitude"),
         *[F.col(p + c).alias(c) for c in
           ("hydrologic_unit_code", "site_type", "agency_code", "drainage_area")],
-    )
+    ).filter(F.col("entity_id").isNotNull())
+    return one_per_key(rows, ["entity_id"], F.struct(*rows.columns[1:]))
 
 
 def record_starts(periods: DataFrame) -> DataFrame:
     """First year of the series that ends last, per station."""
     end = F.coalesce("end_utc", F.lit(""))
     return (
-        periods.filter(F.col("begin_utc").isNotNull())
+        periods.filter(F.col("begin_utc") != "")
         .groupBy(F.col("monitoring_location_id").alias("entity_id"))
         .agg(F.max_by("begin_utc", F.struct(end, F.col("begin_utc"))).alias("_begin"))
         .select("entity_id", F.substring("_begin", 1, 4).try_cast("int").alias("first_year_of_record"))

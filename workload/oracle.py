@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.regions import STATES, region_by_abbreviation
+from tidemark.functions.regions import STATES
 from workload.tables import CFG
 
 # -- output format -----------------------------------------------------------
@@ -370,10 +370,9 @@ def _values(rows: list[tuple[str, ...]]) -> str:
     return ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
 
 
-_regions = region_by_abbreviation()
 BLOCKS["state_regions"] = (
     "SELECT * FROM (VALUES "
-    + _values([(name, code, _regions[abbr]) for name, abbr, code in STATES if abbr in _regions])
+    + _values([(name, code, region) for name, _, code, region in STATES if region])
     + ") AS v(name, code, region)"
 )
 BLOCKS["customer_regions"] = """

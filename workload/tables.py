@@ -106,7 +106,7 @@ class Tables:
             F.when(key < 20, "high").otherwise("low").alias("confidence"),
         )
 
-    def monthly(self) -> DataFrame:
+    def monthly_rows(self) -> DataFrame:
         return (
             self.given("lineitem")
             .join(self.given("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -246,6 +246,12 @@ class Tables:
         self._once("stations", lambda: sinks.write_table(self.station_rows(), path))
         return layers.read_table(self.spark, path, self.station_rows().schema)
 
+    def monthly(self) -> DataFrame:
+        """The second measure as a stored table."""
+        path = self.store.path("monthly")
+        self._once("monthly", lambda: sinks.write_table(self.monthly_rows(), path))
+        return layers.read_table(self.spark, path, schemas.MONTHLY_GENERATION)
+
     def landed(self) -> DataFrame:
         """The raw observations as a stored layer, the input of every later layer."""
         path = self.store.path("landed")
