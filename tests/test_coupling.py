@@ -130,7 +130,7 @@ def test_correlation_tables(case, locations):
     assert {got["b"][c] for c in ("pearson_raw", "spearman_raw_p", "spearman_anom", "best_lag",
                                   "best_lag_corr")} == {None}
     # constant generation: no correlation, the lag scan keeps its starting point
-    assert got["c"].pearson_raw is None and got["c"].best_lag is None
+    assert got["c"].pearson_raw is None and got["c"].best_lag is None and got["c"].n_months == 12
     final = {r.entity_id: r for r in coupling.correlation_final(raw).collect()}
     assert final["b"].tier == final["c"].tier == "not_significant"
     assert not final["b"].decoupled and not final["b"].significant
@@ -146,14 +146,17 @@ def test_climatology_puts_day_366_into_january(spark):
 
 def test_lags_shift_rows_and_smallest_lag_wins_draws(spark):
     series = spark.createDataFrame(
-        [("a", p, float(i % 2), float(i % 2)) for i, p in enumerate(months(12))],
-        "entity_id string, period string, anomaly_flow double, anomaly_gen double")
-    lagged = coupling.lagged_pairs(series, CFG)
-    sizes = {r["lag"]: r.n for r in coupling.rank_correlation(
-        lagged, ["entity_id", "lag"], "anomaly_flow", "anomaly_gen").collect()}
-    assert sizes == {0: 12, 1: 11, 2: 10}
-    best, = coupling.best_lags(series, CFG).collect()     # rho is 1, -1, 1
-    assert (best.best_lag, best.best_lag_corr) == (0, pytest.approx(1.0))
+        [("a", p, float(i % 2), float(i % 2), 1.0, 1.0) for i, p in enumerate(months(12))]
+        + [("a", "2012-01", None, 1.0, 1.0, None), ("short", "2012-01", 1.0, 1.0, 1.0, 1.0)],
+        "entity_id string, period string, anomaly_flow double, anomaly_gen double, "
+        "mean_flow_cfs double, generation_thousand_mwh double")
+    scan = coupling.correlation_scan(series, CFG)
+    sizes = {r.pairing: r.n for r in scan.filter("entity_id = 'a'").collect()}
+    assert sizes == {-1: 12, 0: 12, 1: 11, 2: 10}
+    best = {r.entity_id: r.b for r in scan.groupBy("entity_id").agg(
+        coupling.best_lag(CFG).alias("b")).collect()}       # rho is 1, -1, 1
+    assert (best["a"].lag, best["a"].spearman) == (0, pytest.approx(1.0))
+    assert best["short"] is None
 
 
 def test_scores_of_flat_series_are_zero(spark):

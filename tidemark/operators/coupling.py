@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,37 +149,51 @@ def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFram
     )
 
 
-def lagged_pairs(series: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Flow paired with generation k rows later, one copy of the series per lag k.
+RAW_PAIRING = -1
+
+
+def pairings(series: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """All (x, y) pairs to correlate, one copy of the series per pairing.
 
-    The shift counts rows of the sorted series, so missing months compress it.
+    Pairing −1 holds the values themselves; pairing k holds the flow anomaly with the
+    generation anomaly k rows later.  The shift counts the rows that have both
+    anomalies, so missing months compress it.
     """
-    by_time = Window.partitionBy("entity_id").orderBy("period")
-    complete = series.select(*PAIR, "anomaly_flow", "anomaly_gen").dropna()
-    shifted = F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.lead("anomaly_gen", k).over(by_time).alias("gen"))
+    both = F.col("anomaly_flow").isNotNull() & F.col("anomaly_gen").isNotNull()
+    by_time = Window.partitionBy("entity_id", "_both").orderBy("period")
+
+    def pair(k: int, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(k).alias("pairing"), x.alias("x"), y.alias("y"))
+
+    lagged = [
+        pair(k, F.when(F.col("_both"), F.col("anomaly_flow")),
+             F.when(F.col("_both"), F.lead("anomaly_gen", k).over(by_time)))
         for k in cfg.lags
-    ])
+    ]
+    plain = pair(RAW_PAIRING, F.col("mean_flow_cfs"), F.col("generation_thousand_mwh"))
     return (
-        complete.withColumn("_shifted", shifted)
-        .select(*PAIR, "anomaly_flow", F.explode("_shifted").alias("s"))
-        .select(*PAIR, "s.lag", "anomaly_flow", F.col("s.gen").alias("anomaly_gen"))
+        series.withColumn("_both", both)
+        .withColumn("_pairs", F.array(plain, *lagged))
+        .select("entity_id", F.inline("_pairs"))
     )
 
 
-def best_lags(series: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Lag with the strongest rank correlation; the smallest one on a draw."""
-    scan = (
-        rank_correlation(lagged_pairs(series, cfg), ["entity_id", "lag"],
-                         "anomaly_flow", "anomaly_gen")
-        .filter(F.col("n") >= cfg.min_pairs)
-        .withColumn("strength", F.coalesce(F.abs("spearman"), F.lit(0.0)))
-    )
-    strongest = F.min_by(F.struct("lag", "spearman"), F.struct(-F.col("strength"), F.col("lag")))
-    return scan.groupBy("entity_id").agg(strongest.alias("_best")).select(
-        "entity_id",
-        F.col("_best.lag").alias("best_lag"),
-        F.coalesce("_best.spearman", F.lit(0.0)).alias("best_lag_corr"),
+def correlation_scan(series: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Pair count, Pearson and Spearman per entity and pairing.
+
+    All pairings go through the same windows, partitioned by entity throughout.
+    """
+    return rank_correlation(pairings(series, cfg), ["entity_id", "pairing"], "x", "y")
+
+
+def best_lag(cfg: Settings = Settings()) -> Column:
+    """Over scan rows: lag with the strongest rank correlation, the smallest on a draw."""
+    usable = (F.col("pairing") != RAW_PAIRING) & (F.col("n") >= cfg.min_pairs)
+    strength = F.coalesce(F.abs("spearman"), F.lit(0.0))
+    return F.min_by(
+        F.struct(F.col("pairing").alias("lag"),
+                 F.coalesce("spearman", F.lit(0.0)).alias("spearman")),
+        F.when(usable, F.struct(-strength, F.col("pairing"))),
     )
 
 
@@ -189,37 +201,38 @@ def correlation_raw(
     pairs: DataFrame, baselines: DataFrame, locations: DataFrame, cfg: Settings = Settings()
 ) -> DataFrame:
     """All correlation figures per entity; null where there are too few pairs."""
-    series = anomalies(pairs, baselines, cfg)
-    enough = F.col("n") >= cfg.min_pairs
-
-    def figures(x: str, y: str, tag: str) -> DataFrame:
-        return rank_correlation(series, ["entity_id"], x, y).select(
-            "entity_id",
-            F.col("n").alias(f"n_{tag}"),
-            *[F.when(enough, F.col(c)).alias(f"{c}_{tag}") for c in ("pearson", "spearman")],
-        )
 
-    parts = [
-        pairs.select("entity_id").distinct(),
-        figures("mean_flow_cfs", "generation_thousand_mwh", "raw"),
-        figures("anomaly_flow", "anomaly_gen", "anom"),
-        best_lags(series, cfg),
-        locations.select("entity_id", "eia_location", "confidence"),
-    ]
-    joined = reduce(lambda a, b: a.join(b, "entity_id", "left"), parts)
-    p_values = {
-        f"{c}_{tag}_p": stats.correlation_p(F.col(f"{c}_{tag}"), (F.col(f"n_{tag}") - 2).cast("double"))
-        for c in ("pearson", "spearman") for tag in ("raw", "anom")
-    }
-    out = joined.withColumns({
-        **p_values,
+    def figure(c: str, pairing: int) -> Column:
+        return F.max(F.when(F.col("pairing") == pairing, F.col(c)))
+
+    tags = {"raw": RAW_PAIRING, "anom": 0}
+    found = correlation_scan(anomalies(pairs, baselines, cfg), cfg).groupBy("entity_id").agg(
+        *[figure(c, k).alias(f"{c}_{tag}")
+          for tag, k in tags.items() for c in ("n", "pearson", "spearman")],
+        best_lag(cfg).alias("best"),
+    )
+    joined = (
+        pairs.select("entity_id").distinct()
+        .join(found, "entity_id", "left")
+        .join(locations.select("entity_id", "eia_location", "confidence"), "entity_id", "left")
+    )
+    many = F.col("n_raw") >= cfg.min_pairs
+    kept = {f"{c}_{tag}": F.when(many & (F.col(f"n_{tag}") >= cfg.min_pairs), F.col(f"{c}_{tag}"))
+            for c in ("pearson", "spearman") for tag in tags}
+    known = joined.withColumns({
+        **kept,
         "n_months": F.coalesce("n_raw", F.lit(0)),
         "eia_location": F.coalesce("eia_location", F.lit("")),
         "confidence": F.coalesce("confidence", F.lit("low")),
-        **{c: F.when(F.col("n_raw") >= cfg.min_pairs, F.col(c))
-           for c in ("pearson_anom", "spearman_anom", "best_lag", "best_lag_corr")},
+        "best_lag": F.when(many, F.col("best.lag")),
+        "best_lag_corr": F.when(many, F.col("best.spearman")),
     })
-    return schemas.conform(out, schemas.CORRELATION_RAW)
+    p_values = {
+        f"{c}_{tag}_p": stats.correlation_p(
+            F.col(f"{c}_{tag}"), (F.col(f"n_{tag}") - 2).cast("double"))
+        for c in ("pearson", "spearman") for tag in tags
+    }
+    return schemas.conform(known.withColumns(p_values), schemas.CORRELATION_RAW)
 
 
 def correlation_final(raw: DataFrame) -> DataFrame:

@@ -630,8 +630,8 @@ def _(t: Tables) -> DataFrame:
 @query("w06_lag_scan", "entity_id s, lag i, n i, pearson d6, spearman d6",
        "SELECT * FROM corr_lagged")
 def _(t: Tables) -> DataFrame:
-    lagged = coupling.lagged_pairs(coupling.anomalies(t.pairs(), t.baselines(), CFG), CFG)
-    return coupling.rank_correlation(lagged, ["entity_id", "lag"], "anomaly_flow", "anomaly_gen")
+    scan = coupling.correlation_scan(coupling.anomalies(t.pairs(), t.baselines(), CFG), CFG)
+    return scan.filter(F.col("pairing") != coupling.RAW_PAIRING).withColumnRenamed("pairing", "lag")
 
 
 @query("w15_adjusted_significance",
@@ -986,7 +986,7 @@ UNION ALL SELECT 'missing_entity_id', 'entity_id', n, CASE WHEN n = 0 THEN 'ok'
 """)
 def _(t: Tables) -> DataFrame:
     return quality.health_report(
-        t.landed(), t.daily(), t.category(), t.stations(), TODAY, CFG)
+        t.raw(), t.daily(), t.category(), t.stations(), TODAY, CFG)
 
 
 @query("st1_upsert_stream", OBS, """
