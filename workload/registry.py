@@ -54,7 +54,7 @@ WHEN {p} * 100 < 75 THEN 'typical' WHEN {p} * 100 < 95 THEN 'near' ELSE 'at reco
 # -- builds ------------------------------------------------------------------
 
 @query("b01_seasonal_baselines",
-       "entity_id s, metric s, day_of_year i, mu d4, sigma d4, n_years i",
+       "entity_id s, metric s, day_of_year i, mu d7, sigma d4, n_years i",
        "SELECT * FROM baselines")
 def _(t: Tables) -> DataFrame:
     return baseline.seasonal_baselines(t.raw(), CFG)
@@ -382,7 +382,7 @@ def _(t: Tables) -> DataFrame:
     return series.hydrograph(t.daily(), t.stations(), METRIC, *WHOLE, cfg=CFG)
 
 
-@query("q10_baseline_band", "entity_id s, metric s, day_of_year i, mu d4, sigma d4",
+@query("q10_baseline_band", "entity_id s, metric s, day_of_year i, mu d7, sigma d4",
        "SELECT * FROM baselines WHERE day_of_year BETWEEN 32 AND 335")
 def _(t: Tables) -> DataFrame:
     span = SPAN[0].replace(month=2), SPAN[1].replace(month=11, day=30)
@@ -390,7 +390,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("q11_banded_hydrograph",
-       HYDRO + ", mu d4, sigma d4, lower_1s d4, upper_1s d4, lower_2s d4, upper_2s d4, "
+       HYDRO + ", mu d7, sigma d4, lower_1s d4, upper_1s d4, lower_2s d4, upper_2s d4, "
        "is_event b, is_gap b, z_code i", f"""
 SELECT h.*, b.mu, b.sigma, mu - sigma AS lower_1s, mu + sigma AS upper_1s,
        mu - 2 * sigma AS lower_2s, mu + 2 * sigma AS upper_2s,
