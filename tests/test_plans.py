@@ -1,7 +1,6 @@
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark import Settings, schemas
 from tidemark.plans import dashboard, quality, series

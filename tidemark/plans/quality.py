@@ -12,6 +12,7 @@ from tidemark.operators.upsert import only_in
 from tidemark.session import pinned
 from tidemark.settings import Settings
 
+
 def _status(good: Column, soft: bool = False) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), "ok").otherwise("warn" if soft else "fail")
 

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions import calendar, classify, regions, scores, text
+from tidemark.functions import calendar, classify, regions, text
 from tidemark.operators import baseline, coupling, daily, rollup, upsert
 from tidemark.plans import build, dashboard, quality, series
 from tidemark.plans import coupling as coupled
 from tidemark.sources import landed, layers, sinks
 from workload import tables as w
-from workload.oracle import compose, correlations_sql, formatted, formatted_sql, p_value_sql, whole_z_sql
+from workload.oracle import (
+    compose, correlations_sql, formatted, formatted_sql, p_value_sql, whole_z_sql,
+)
 from workload.tables import CFG, DAY, ENTITY, METRIC, SPAN, TODAY, Tables
 
 
