@@ -4,21 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import neardup
-from tidemark.llm.common import read_table
+from tidemark.llm import (
+    decontamination, fingerprint, langid, licenses, linededup, mixing, neardup, secrets, tokenfile, warc,
+)
+from tidemark.llm.common import read_table, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.MixParams()
+    sized = staged(mixing.sized_documents(read_table(spark, sf_dir, "documents"), p), "sized")
+    taken = mixing.with_copies(sized, mixing.repetition_plan(sized, p))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train_on_fold(docs))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = tokenfile.TokenFileParams(public_tokenizers.path(TOKENIZER))
+    return tokenfile.token_output(spark, read_table(spark, sf_dir, "documents"), params)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
-    return groups.withColumn("kept", groups["doc_id"] == groups["component_id"])
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, item) pair of which the document holds a copy of the item."""
+    found = decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("tag")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.next_and_edited(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_token_files": op5_token_files,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontamination": op7_decontamination,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_warc": op9_warc,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 SQL: dict[str, str] = {}
