@@ -153,31 +153,31 @@ def _sketches(docs: DataFrame, p: SketchParams) -> DataFrame:
     return docs.mapInPandas(run, _SKETCH)
 
 
-def _plausible(a: dict, b: dict, p: SketchParams) -> np.ndarray:
-    """Which pairs of sketches may reach the threshold: sizes, bitmap bound, likelihood.
-
-    Sizes and bitmap give strict bounds: a bit set in a only stands for an element of a only.
-    """
-    n_a, n_b = a["n"], b["n"]
-    share = p.percent / 100
+def _bounded(a: dict, b: dict, p: SketchParams) -> np.ndarray:
+    """Which pairs may reach the threshold by strict bounds: a bit set in a only stands for an element of a only."""
     only_a = np.bitwise_count(a["bits"] & ~b["bits"]).sum(-1, dtype=np.int64)
     only_b = np.bitwise_count(b["bits"] & ~a["bits"]).sum(-1, dtype=np.int64)
-    both = np.minimum(n_a - only_a, n_b - only_b)
-    good = 100 * both >= p.percent * (n_a + n_b - both)
-    at = np.flatnonzero(good)
-    if len(at):
-        ra, rb = a["registers"][at], b["registers"][at]
-        estimate = likelihood_jaccard((ra > rb).sum(-1), (ra < rb).sum(-1), (ra == rb).sum(-1),
-                                      n_a[at], n_b[at], p.base)
-        good[at] = estimate >= share - p.slack * np.sqrt(share * (1 - share) / p.registers)
-    return good
-
-
-def _arrays(frame: pd.DataFrame, suffix: str) -> dict:
-    joined = {c: b"".join(frame[c + suffix]) for c in ("bits", "registers")}
+    both = np.minimum(a["n"] - only_a, b["n"] - only_b)
+    return 100 * both >= p.percent * (a["n"] + b["n"] - both)
+
+
+def _likely(a: dict, b: dict, p: SketchParams) -> np.ndarray:
+    """Which pairs the likelihood estimate leaves near the threshold or above."""
+    share = p.percent / 100
+    ra, rb = a["registers"], b["registers"]
+    estimate = likelihood_jaccard((ra > rb).sum(-1), (ra < rb).sum(-1), (ra == rb).sum(-1), a["n"], b["n"], p.base)
+    return estimate >= share - p.slack * np.sqrt(share * (1 - share) / p.registers)
+
+
+def _taken(x: dict, at: np.ndarray) -> dict:
+    return {c: v[at] for c, v in x.items()}
+
+
+def _arrays(frame: pd.DataFrame, suffix: str, p: SketchParams) -> dict:
+    bits, registers = (b"".join(frame[c + suffix]) for c in ("bits", "registers"))
     return {"n": frame["n" + suffix].to_numpy(np.int64),
-            "bits": np.frombuffer(joined["bits"], np.uint64).reshape(len(frame), -1),
-            "registers": np.frombuffer(joined["registers"], np.uint16).reshape(len(frame), -1)}
+            "bits": np.frombuffer(bits, np.uint64).reshape(len(frame), p.bitmap_bytes // 8),
+            "registers": np.frombuffer(registers, np.uint16).reshape(len(frame), p.registers)}
 
 
 def _side(frame: DataFrame, suffix: str, *columns: str) -> DataFrame:
@@ -212,7 +212,9 @@ def _star_pairs(members: DataFrame, sketches: DataFrame, p: SketchParams) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.loc[_plausible(_arrays(batch, "_a"), _arrays(batch, "_b"), p), ["a", "b"]]
+                a, b = _arrays(batch, "_a", p), _arrays(batch, "_b", p)
+                at = np.flatnonzero(_bounded(a, b, p))
+                yield batch[["a", "b"]].iloc[at[_likely(_taken(a, at), _taken(b, at), p)]]
 
     return joined.mapInPandas(run, "a long, b long")
 
@@ -245,21 +247,20 @@ def _other_pairs(members: DataFrame, known: DataFrame, sketches: DataFrame, p: S
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         left, right = tile[tile["left"]], tile[~tile["left"]]
-        found = []
-        if len(left) and len(right):
-            y = _arrays(right, "")
-            keys, components = right["key"].to_numpy(), right["component"].to_numpy()
-            probes = right["probe"].to_numpy()
-            x = _arrays(left, "")
-            for k, (key, component) in enumerate(zip(left["key"], left["component"], strict=True)):
-                ratio = np.minimum(x["n"][k], y["n"]) * 100 >= p.percent * np.maximum(x["n"][k], y["n"])
-                at = np.flatnonzero(ratio & (components != component) & (~probes | (keys > key)))
-                if len(at):
-                    one = {c: np.broadcast_to(v[k], (len(at), *v[k].shape)) for c, v in x.items()}
-                    at = at[_plausible(one, {c: v[at] for c, v in y.items()}, p)]
-                    found.append(np.stack([np.minimum(keys[at], key), np.maximum(keys[at], key)], 1))
-        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame(out, columns=["a", "b"])
+        pairs = [np.empty((0, 2), np.int64)]
+        x, y = _arrays(left, "", p), _arrays(right, "", p)
+        keys, components, probes = (right[c].to_numpy() for c in ("key", "component", "probe"))
+        for k, (key, component) in enumerate(zip(left["key"], left["component"], strict=True)):
+            n = x["n"][k]
+            near = (100 * np.minimum(n, y["n"]) >= p.percent * np.maximum(n, y["n"])) & (components != component)
+            at = np.flatnonzero(near & (~probes | (keys > key)))
+            if len(at):
+                at = at[_bounded({"n": n, "bits": x["bits"][k]}, _taken(y, at), p)]
+                pairs.append(np.stack([np.full(len(at), k), at], 1))
+        i, j = np.concatenate(pairs).T
+        good = _likely(_taken(x, i), _taken(y, j), p)
+        a, b = left["key"].to_numpy()[i[good]], keys[j[good]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return tiles.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 

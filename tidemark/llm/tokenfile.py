@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ _FILES = ("part int, file_no int, path string, index_path string, n_tokens long,
 class TokenFileParams:
     """Sequences of ``length`` ids; ``batch`` of them per record batch; a file ends after ``file_tokens`` ids.
 
-    ``cached_words`` bounds the memory of the tokens of words already met by a task.
+    ``cached_words`` bounds the memory of the tokens of words already met by a worker process.
     """
 
     tokenizer: str
@@ -33,7 +35,7 @@ class TokenFileParams:
     length: int = 2048
     batch: int = 64
     file_tokens: int = 1 << 24
-    cached_words: int = 400_000
+    cached_words: int = 700_000
 
 
 class CachedEncoder:
@@ -51,6 +53,7 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(p.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._ids("\n")
+        self.points = {c: self._ids(c) for c in ".,"}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.limit = p.cached_words
@@ -58,23 +61,31 @@ class CachedEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = list(words)
+    def _encoded(self, words: list[str], lead: str) -> list[bytes]:
         # a newline is a token of its own between two words, so it parts the ids of one from the next
-        joined = "\n".join([lead + w for w in new])
+        joined = "\n".join([lead + w for w in words])
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]), len(ids))
-        at = 0
-        for word, end in zip(new, ends.tolist(), strict=True):
-            known[word] = ids[at:end].tobytes()
-            at = end + 1
+        ends = np.append(np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]), len(ids)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *[x + 1 for x in ends[:-1]]], ends, strict=True)]
+
+    def _learned(self, words: set[str], known: dict[str, bytes], lead: str) -> dict[str, bytes]:
+        """Ids of new words; a stop or comma after a letter or digit is a token of its own."""
+        ended = {w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalnum()}
+        plain = list({w[:-1] for w in ended}.difference(known) | (words - ended))
+        new = dict(zip(plain, self._encoded(plain, lead), strict=True)) if plain else {}
+        for w in ended:
+            new[w] = (new.get(w[:-1]) or known[w[:-1]]) + self.points[w[-1]]
+        return new
 
     def _look_up(self, words: list[str], known: dict[str, bytes], lead: str) -> list[bytes]:
         try:
             return list(map(known.__getitem__, words))
         except KeyError:
-            self._learn({w for w in words if w not in known}, known, lead)
-            return [known[w] for w in words]
+            new = self._learned(set(words).difference(known), known, lead)
+            if len(known) < self.limit:
+                known.update(new)
+                return list(map(known.__getitem__, words))
+            return [known[w] if w in known else new[w] for w in words]
 
     def __call__(self, text: str) -> bytes:
         if not text or any(s in text for s in self.special):
@@ -85,9 +96,6 @@ class CachedEncoder:
         # an empty piece or white space inside one means that blanks are not all alone
         if "" in flat or len(text.split()) != len(flat):
             return self._ids(text)
-        for known in (self.first, self.later):
-            if len(known) > self.limit:
-                known.clear()
         out = []
         for k, words in enumerate(pieces):
             if k:
@@ -97,15 +105,26 @@ class CachedEncoder:
         return b"".join(out)
 
 
+def _shared_encoder(p: TokenFileParams) -> CachedEncoder:
+    """The encoder of this worker process, kept from task to task with the words it knows."""
+    home = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders"))
+    encoders = home.__dict__.setdefault("encoders", {})
+    key = (p.tokenizer, p.cached_words)
+    if key not in encoders:
+        encoders[key] = CachedEncoder(p)
+    return encoders[key]
+
+
 class _FileWriter:
     """One Arrow file of sequences and one of document positions, both renamed when complete."""
 
-    def __init__(self, folder: str, name: str, p: TokenFileParams):
+    def __init__(self, folder: str, name: str, n_ids: int, p: TokenFileParams):
         self.fs, root = pa.fs.FileSystem.from_uri(folder)
         self.paths = [f"{root}/{name}.arrow", f"{root}/{name}.index.arrow"]
         self.uris = [f"{folder}/{name}.arrow", f"{folder}/{name}.index.arrow"]
         self.suffix, self.p = f".{uuid.uuid4().hex}.tmp", p
-        self.schema = pa.schema({"ids": pa.list_(pa.uint32(), p.length), "mask": pa.list_(pa.uint8(), p.length)})
+        self.id_type = pa.uint16() if n_ids <= 1 << 16 else pa.uint32()
+        self.schema = pa.schema({"ids": pa.list_(self.id_type, p.length), "mask": pa.list_(pa.bool_(), p.length)})
         self.index_schema = pa.schema({"doc_id": pa.int64(), "offset": pa.int64(), "n_tokens": pa.int64()})
         self.streams = [self.fs.open_output_stream(path + self.suffix) for path in self.paths]
         self.body = pa.ipc.new_file(self.streams[0], self.schema)
@@ -129,9 +148,8 @@ class _FileWriter:
         whole = len(ids) if last else len(ids) - len(ids) % self.p.length
         rest = ids[whole:]
         fill = -whole % self.p.length
-        values = np.concatenate([ids[:whole], np.zeros(fill, "<u4")])
-        mask = np.ones(len(values), np.uint8)
-        mask[whole:] = 0
+        values = np.concatenate([ids[:whole], np.zeros(fill, "<u4")]).astype(self.id_type.to_pandas_dtype())
+        mask = np.arange(len(values)) < whole
         step = self.p.length * self.p.batch
         for at in range(0, len(values), step):
             self.body.write_batch(pa.record_batch([
@@ -154,7 +172,7 @@ class _FileWriter:
 def write_token_files(docs: DataFrame, folder: str, p: TokenFileParams) -> DataFrame:
     """Encode every text (null: empty), end it with ``end_id`` and write files in ascending doc_id order.
 
-    Ids of a file run on from sequence to sequence; only the last is padded, with mask 0.  Documents
+    Ids are 16 bits wide where the vocabulary allows it, masks one bit.  Ids of a file run on from sequence to sequence; only the last is padded, with mask 0.  Documents
     are dealt by ranges of doc_id, so files in the order (part, file_no) hold all ids in order.  Null ids come
     first; equal ids are ordered by text.  A repeated or lost attempt writes files of its own name, and only
     those of the returned list (part, file_no, path, index_path, n_tokens, n_documents) count.
@@ -162,7 +180,7 @@ def write_token_files(docs: DataFrame, folder: str, p: TokenFileParams) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = CachedEncoder(p), np.array([p.end_id], "<u4").tobytes()
+        encode, end = _shared_encoder(p), np.array([p.end_id], "<u4").tobytes()
         context = TaskContext.get()
         part, file_no, writer = context.partitionId(), 0, None
 
@@ -175,7 +193,7 @@ def write_token_files(docs: DataFrame, folder: str, p: TokenFileParams) -> DataF
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if writer is None:
                     name = f"part-{part:06d}-{file_no:05d}-{context.taskAttemptId()}"
-                    writer = _FileWriter(folder, name, p)
+                    writer = _FileWriter(folder, name, max(encode.tokenizer.get_vocab_size(), p.end_id + 1), p)
                 writer.add(None if pd.isna(doc_id) else int(doc_id), encode(text) + end)
                 if writer.n_tokens >= p.file_tokens:
                     yield done(writer)
@@ -229,7 +247,7 @@ def _documents(path: str, index_path: str, file_start: int) -> Iterator[pd.DataF
                     held_from += len(held)
                     batch = body.get_batch(next_batch)
                     held = batch.column("ids").flatten().to_numpy(zero_copy_only=True)
-                    held = held[:int(batch.column("mask").flatten().to_numpy().sum())]
+                    held = held[:batch.column("mask").flatten().true_count].astype("<u4")
                     next_batch += 1
                 part = held[at - held_from:offset + n - held_from]
                 crc, at = zlib.crc32(part, crc), at + len(part)
@@ -243,7 +261,8 @@ def sequence(uri: str, number: int, batch: int = 64) -> tuple[np.ndarray, np.nda
     part = _open(uri).get_batch(number // batch)
     length = part.schema.field("ids").type.list_size
     at = number % batch * length
-    return tuple(part.column(c).flatten()[at:at + length].to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+    ids, mask = (part.column(c).flatten()[at:at + length] for c in ("ids", "mask"))
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, p: TokenFileParams) -> DataFrame:
