@@ -15,6 +15,7 @@ from tidemark.llm.common import staged
 from tidemark.llm.components import connected
 
 _U64 = np.uint64
+_PAIRS_AT_ONCE = 1 << 16
 _SKETCH = "key long, n long, signature binary, registers binary, bits binary, bands array<long>"
 
 
@@ -245,24 +246,52 @@ def _other_pairs(members: DataFrame, known: DataFrame, sketches: DataFrame, p: S
     tiles = as_probe.select(*keep).union(as_member.select(*keep)).join(
         sketches.select("key", "n", "bits", "registers"), "key")
 
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        left, right = tile[tile["left"]], tile[~tile["left"]]
-        pairs = [np.empty((0, 2), np.int64)]
-        x, y = _arrays(left, "", p), _arrays(right, "", p)
-        keys, components, probes = (right[c].to_numpy() for c in ("key", "component", "probe"))
-        for k, (key, component) in enumerate(zip(left["key"], left["component"], strict=True)):
-            n = x["n"][k]
-            near = (100 * np.minimum(n, y["n"]) >= p.percent * np.maximum(n, y["n"])) & (components != component)
-            at = np.flatnonzero(near & (~probes | (keys > key)))
-            if len(at):
-                at = at[_bounded({"n": n, "bits": x["bits"][k]}, _taken(y, at), p)]
-                pairs.append(np.stack([np.full(len(at), k), at], 1))
-        i, j = np.concatenate(pairs).T
-        good = _likely(_taken(x, i), _taken(y, j), p)
-        a, b = left["key"].to_numpy()[i[good]], keys[j[good]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return tiles.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def plausible(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Pairs of whole tiles, which begin at ``starts``; many small tiles are compared at once."""
+        x, held, n_held = _arrays(frame, "", p), [], 0
+        keys, components, left, probes = (frame[c].to_numpy() for c in ("key", "component", "left", "probe"))
+
+        def flush() -> pd.DataFrame:
+            i, j = np.concatenate(held, axis=1)
+            at = np.flatnonzero(_bounded(_taken(x, i), _taken(x, j), p))
+            at = at[_likely(_taken(x, i[at]), _taken(x, j[at]), p)]
+            a, b = keys[i[at]], keys[j[at]]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+        for start, end in zip(starts, [*starts[1:], len(frame)], strict=True):
+            mine = start + np.flatnonzero(left[start:end])
+            others = start + np.flatnonzero(~left[start:end])
+            step = max(1, _PAIRS_AT_ONCE // max(1, len(others)))
+            for at in range(0, len(mine) if len(others) else 0, step):
+                part = mine[at:at + step]
+                i, j = np.repeat(part, len(others)), np.tile(others, len(part))
+                good = (components[i] != components[j]) & (~probes[j] | (keys[j] > keys[i]))
+                good &= 100 * np.minimum(x["n"][i], x["n"][j]) >= p.percent * np.maximum(x["n"][i], x["n"][j])
+                held.append(np.stack([i[good], j[good]]))
+                n_held += held[-1].shape[1]
+                if n_held >= _PAIRS_AT_ONCE:
+                    yield flush()
+                    held, n_held = [], 0
+        if held:
+            yield flush()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(frame):
+                continue
+            new = np.ones(len(frame), bool)
+            new[1:] = np.logical_or.reduce([np.diff(frame[c].to_numpy()) != 0 for c in ("band", "i", "j")])
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield from plausible(frame.iloc[:starts[-1]], starts[:-1])
+            rest = frame.iloc[starts[-1]:]  # may go on in the next batch
+        if rest is not None:
+            yield from plausible(rest.reset_index(drop=True), np.zeros(1, int))
+
+    ordered = tiles.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",

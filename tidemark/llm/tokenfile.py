@@ -35,14 +35,14 @@ class TokenFileParams:
     length: int = 2048
     batch: int = 64
     file_tokens: int = 1 << 24
-    cached_words: int = 700_000
+    cached_words: int = 900_000
 
 
 class CachedEncoder:
     """Byte-level BPE of whole texts, one word at a time.
 
-    The tokenizer never merges across a blank between two words, so ids of a text are the
-    ids of its words, each with its leading blank.  Texts with other or doubled white space, or with a special
+    The tokenizer never merges across the blank or newline between two words, so the ids of a text are those of its
+    words, each with what stands before it.  Texts with other or doubled white space, or with a special
     token, go to the tokenizer whole.
     """
 
@@ -54,55 +54,57 @@ class CachedEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._ids("\n")
         self.points = {c: self._ids(c) for c in ".,"}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.limit = p.cached_words
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encoded(self, words: list[str], lead: str) -> list[bytes]:
+    def _encoded(self, words: list[str]) -> list[bytes]:
         # a newline is a token of its own between two words, so it parts the ids of one from the next
-        joined = "\n".join([lead + w for w in words])
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.append(np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]), len(ids)).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *[x + 1 for x in ends[:-1]]], ends, strict=True)]
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip([0, *[x + 1 for x in ends[:-1]]], ends, strict=True)]
 
-    def _learned(self, words: set[str], known: dict[str, bytes], lead: str) -> dict[str, bytes]:
+    def _learned(self, words: set[str]) -> dict[str, bytes]:
         """Ids of new words; a stop or comma after a letter or digit is a token of its own."""
         ended = {w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalnum()}
-        plain = list({w[:-1] for w in ended}.difference(known) | (words - ended))
-        new = dict(zip(plain, self._encoded(plain, lead), strict=True)) if plain else {}
+        plain = list({w[:-1] for w in ended}.difference(self.known) | (words - ended))
+        # a word that starts a text or line has no blank before it
+        spelt = [w[1:] if w[0] in "\n\0" else " " + w for w in plain]
+        new = dict(zip(plain, self._encoded(spelt), strict=True)) if plain else {}
+        for w in plain:
+            if w[0] == "\n":
+                new[w] = self.newline + new[w]
         for w in ended:
-            new[w] = (new.get(w[:-1]) or known[w[:-1]]) + self.points[w[-1]]
+            new[w] = (new.get(w[:-1]) or self.known[w[:-1]]) + self.points[w[-1]]
         return new
 
-    def _look_up(self, words: list[str], known: dict[str, bytes], lead: str) -> list[bytes]:
-        try:
-            return list(map(known.__getitem__, words))
-        except KeyError:
-            new = self._learned(set(words).difference(known), known, lead)
-            if len(known) < self.limit:
-                known.update(new)
-                return list(map(known.__getitem__, words))
-            return [known[w] if w in known else new[w] for w in words]
-
-    def __call__(self, text: str) -> bytes:
-        if not text or any(s in text for s in self.special):
-            return self._ids(text)
-        lines = text.split("\n")
-        pieces = [line.split(" ") for line in lines]
-        flat = [w for words in pieces for w in words]
-        # an empty piece or white space inside one means that blanks are not all alone
-        if "" in flat or len(text.split()) != len(flat):
-            return self._ids(text)
-        out = []
-        for k, words in enumerate(pieces):
-            if k:
-                out.append(self.newline)
-            out += self._look_up(words[:1], self.first, "")
-            out += self._look_up(words[1:], self.later, " ")
-        return b"".join(out)
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        out: list = [None] * len(texts)
+        parted, missing = {}, set()
+        for k, text in enumerate(texts):
+            pieces = ("\0" + text).replace("\n", " \n").split(" ")
+            # an odd count means that white space is not all single blanks and newlines between words
+            if not text or text[0].isspace() or len(text.split()) != len(pieces) or any(s in text for s in self.special):
+                out[k] = self._ids(text)
+                continue
+            found = list(map(self.known.get, pieces))
+            if None in found:
+                parted[k] = pieces
+                missing.update([w for w, ids in zip(pieces, found, strict=True) if ids is None])
+            else:
+                out[k] = b"".join(found)
+        if missing:
+            new = self._learned(missing)
+            if len(self.known) < self.limit:
+                self.known.update(new)
+                new = {}
+            for k, pieces in parted.items():
+                out[k] = b"".join([self.known.get(w) or new[w] for w in pieces])
+        return out
 
 
 def _shared_encoder(p: TokenFileParams) -> CachedEncoder:
@@ -115,6 +117,19 @@ def _shared_encoder(p: TokenFileParams) -> CachedEncoder:
     return encoders[key]
 
 
+def _encoded_rows(batches: Iterator[pd.DataFrame], encoder: CachedEncoder) -> Iterator[tuple]:
+    """(doc_id, ids) of all rows in order, encoded together about a million characters at a time."""
+    for batch in batches:
+        held, n_held = [], 0
+        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            held.append((doc_id, text))
+            n_held += len(text)
+            if n_held >= 1 << 20:
+                yield from zip([d for d, _ in held], encoder.many([t for _, t in held]), strict=True)
+                held, n_held = [], 0
+        yield from zip([d for d, _ in held], encoder.many([t for _, t in held]), strict=True)
+
+
 class _FileWriter:
     """One Arrow file of sequences and one of document positions, both renamed when complete."""
 
@@ -180,7 +195,7 @@ def write_token_files(docs: DataFrame, folder: str, p: TokenFileParams) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = _shared_encoder(p), np.array([p.end_id], "<u4").tobytes()
+        encoder, end = _shared_encoder(p), np.array([p.end_id], "<u4").tobytes()
         context = TaskContext.get()
         part, file_no, writer = context.partitionId(), 0, None
 
@@ -189,15 +204,14 @@ def write_token_files(docs: DataFrame, folder: str, p: TokenFileParams) -> DataF
             return pd.DataFrame([(part, file_no, *w.uris, w.n_tokens, w.n_documents)],
                                 columns=["part", "file_no", "path", "index_path", "n_tokens", "n_documents"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if writer is None:
-                    name = f"part-{part:06d}-{file_no:05d}-{context.taskAttemptId()}"
-                    writer = _FileWriter(folder, name, max(encode.tokenizer.get_vocab_size(), p.end_id + 1), p)
-                writer.add(None if pd.isna(doc_id) else int(doc_id), encode(text) + end)
-                if writer.n_tokens >= p.file_tokens:
-                    yield done(writer)
-                    file_no, writer = file_no + 1, None
+        for doc_id, ids in _encoded_rows(batches, encoder):
+            if writer is None:
+                name = f"part-{part:06d}-{file_no:05d}-{context.taskAttemptId()}"
+                writer = _FileWriter(folder, name, max(encoder.tokenizer.get_vocab_size(), p.end_id + 1), p)
+            writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
+            if writer.n_tokens >= p.file_tokens:
+                yield done(writer)
+                file_no, writer = file_no + 1, None
         if writer is not None:
             yield done(writer)
 
