@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import sys
 import types
 import uuid
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, staged
 
+# Byte-level BPE writes each byte as one letter: printable Latin-1 as itself, the others from U+0100 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _FILES = ("part int, file_no int, path string, index_path string, n_tokens long, n_documents long")
 
 
@@ -67,13 +71,27 @@ class CachedEncoder:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip([0, *[x + 1 for x in ends[:-1]]], ends, strict=True)]
 
+    def _spelt(self, words: list[str]) -> list[bytes]:
+        """Ids of words with what stands before them; one of Latin letters alone goes straight to the merges."""
+        out, model, others = [None] * len(words), self.tokenizer.model, []
+        for k, w in enumerate(words):
+            bare = w[1:] if w[0] == " " else w
+            if bare.isalpha() and max(bare) < "\u0250":
+                ids = [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(k)
+        for k, ids in zip(others, self._encoded([words[k] for k in others]) if others else [], strict=True):
+            out[k] = ids
+        return out
+
     def _learned(self, words: set[str]) -> dict[str, bytes]:
         """Ids of new words; a stop or comma after a letter or digit is a token of its own."""
         ended = {w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalnum()}
         plain = list({w[:-1] for w in ended}.difference(self.known) | (words - ended))
         # a word that starts a text or line has no blank before it
         spelt = [w[1:] if w[0] in "\n\0" else " " + w for w in plain]
-        new = dict(zip(plain, self._encoded(spelt), strict=True)) if plain else {}
+        new = dict(zip(plain, self._spelt(spelt), strict=True)) if plain else {}
         for w in plain:
             if w[0] == "\n":
                 new[w] = self.newline + new[w]
@@ -237,7 +255,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
             for path, index_path, file_start in batch.itertuples(index=False):
                 yield from _documents(path, index_path, int(file_start))
 
-    return (placed.repartition("path").select("path", "index_path", "file_start")
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (placed.repartition(n, "path").select("path", "index_path", "file_start")
             .mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
