@@ -21,7 +21,8 @@ _BLANKS = bytes.maketrans(string.punctuation.encode() + string.ascii_uppercase.e
 
 @dataclass(frozen=True)
 class SeedParams:
-    """``gram`` words make a seed; of an item's seeds the rarer ``rare_share`` count, ``rare_least`` at least.
+    """``gram`` words make a seed; seeds in more than ``rare_factor`` times as many texts as the item's median seed
+    are left out.  The bound follows the item, so one that is leaked very often keeps its seeds.
 
     The filter of seeds has ``filter_bits`` bits whatever the benchmark's size; a fuller filter lets more
     passages through to the join, never fewer.  ``margin`` words around a run of seeds are aligned with.
@@ -29,8 +30,7 @@ class SeedParams:
     """
 
     gram: int = 4
-    rare_share: float = 0.5
-    rare_least: int = 8
+    rare_factor: float = 8.0
     filter_bits: int = 1 << 22
     margin: int = 64
     match: int = 2
@@ -147,11 +147,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: SeedParams = SeedPara
     hits = passages.select("passage", "tag", F.explode(F.arrays_zip("hashes", "places")).alias("hit")).select(
         "passage", "tag", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("place"))
     frequency = hits.select("hash", "tag").distinct().groupBy("hash").agg(F.count("*").alias("frequency"))
-    by_item = Window.partitionBy("item_id")
-    rare = (seeds.join(frequency, "hash", "left")
-            .withColumn("rank", F.row_number().over(by_item.orderBy(F.coalesce("frequency", F.lit(0)), "hash", "at")))
-            .withColumn("n_seeds", F.count("*").over(by_item))
-            .where((F.col("rank") <= p.rare_least) | (F.col("rank") <= F.col("n_seeds") * p.rare_share)))
+    counted = seeds.join(frequency, "hash", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
+    usual = F.percentile("frequency", F.lit(0.5)).over(Window.partitionBy("item_id"))
+    rare = (counted.withColumn("usual", usual)
+            .where(F.col("frequency") <= p.rare_factor * F.greatest("usual", F.lit(1.0))))
     pairs = (hits.join(rare.select("hash", "item_id", "at", "length"), "hash")
              .groupBy("passage", "item_id")
              .agg(F.min(F.col("place") - F.col("at")).alias("low_at"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontamination, fingerprint, langid, licenses, linededup, mixing, neardup, secrets, tokenfile, warc,
+    decontamination, fingerprint, langid, licenses, linededup, mixing, neardup, oracle, secrets, tokenfile, warc,
 )
 from tidemark.llm.common import read_table, staged
 
@@ -79,4 +79,10 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-SQL: dict[str, str] = {}
+#: The others learn, tokenize or hash in ways SQL has no words for; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op2_mix_sources": oracle.OP2,
+    "op4_line_dedup": oracle.OP4,
+    "op6_near_duplicates": oracle.OP6,
+    "op9_warc": oracle.OP9,
+}

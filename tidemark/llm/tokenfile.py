@@ -24,6 +24,7 @@ from tidemark.llm.common import fresh_path, staged
 # Byte-level BPE writes each byte as one letter: printable Latin-1 as itself, the others from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_BLANK = chr(_BYTE_LETTERS[32])
 _FILES = ("part int, file_no int, path string, index_path string, n_tokens long, n_documents long")
 
 
@@ -77,7 +78,9 @@ class CachedEncoder:
         for k, w in enumerate(words):
             bare = w[1:] if w[0] == " " else w
             if bare.isalpha() and max(bare) < "\u0250":
-                ids = [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+                plain = _BLANK * (len(w) - len(bare)) + bare
+                letters = plain if bare.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = [t.id for t in model.tokenize(letters)]
                 out[k] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 others.append(k)
@@ -110,18 +113,19 @@ class CachedEncoder:
                 out[k] = self._ids(text)
                 continue
             found = list(map(self.known.get, pieces))
-            if None in found:
-                parted[k] = pieces
-                missing.update([w for w, ids in zip(pieces, found, strict=True) if ids is None])
+            if holes := [i for i, ids in enumerate(found) if ids is None]:
+                parted[k] = found, [(i, pieces[i]) for i in holes]
+                missing.update([pieces[i] for i in holes])
             else:
                 out[k] = b"".join(found)
         if missing:
             new = self._learned(missing)
             if len(self.known) < self.limit:
                 self.known.update(new)
-                new = {}
-            for k, pieces in parted.items():
-                out[k] = b"".join([self.known.get(w) or new[w] for w in pieces])
+            for k, (found, holes) in parted.items():
+                for i, w in holes:
+                    found[i] = new[w]
+                out[k] = b"".join(found)
         return out
 
 
