@@ -39,3 +39,13 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for table in ("documents", "benchmark"):
         read_table(spark, SF_DIR, table).where("false").write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_pairing_of_everything(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, query in QUERIES.items():
+            plan = query(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
