@@ -9,6 +9,7 @@ import __spark_entry__ as contract
 from tidemark.operators.baseline import day_of_year_stats
 from tidemark.operators.daily import daily_entity_metrics
 from tidemark.operators.rollup import category_metrics
+from workload import registry
 from workload.tables import CFG, TODAY, tables
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -26,7 +27,7 @@ def without_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_pairing_of_everything(spark, without_broadcast, name):
     plan = plan_of(contract.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

@@ -26,3 +26,24 @@ def test_two_batches_equal_one_load(spark, tmp_path):
     # nothing has landed since: running again processes no batch and changes nothing
     upsert_stream(landed_observations(spark, landing), store, progress).awaitTermination()
     assert {r.observed_at: r.value for r in store.raw().collect()} == want
+
+
+def test_batches_and_order_of_files_do_not_matter(spark, tmp_path):
+    def row(day, value, seen, payload):
+        return ("s", "a", date(2023 + day % 2, 1, day), datetime(2024, 2, seen), "flow", "c", value, "u", None, None,
+                "Provisional", None, payload)
+
+    # payload texts sort against time; the third file is older than the second
+    files = [[row(1, 1.0, 1, "z"), row(2, 5.0, 4, "b")], [row(1, 2.0, 3, "a"), row(2, 6.0, 2, "y")],
+             [row(1, 1.0, 2, "y"), row(3, 7.0, 1, "x")]]
+    outcomes = set()
+    for k, (order, per_batch) in enumerate([((0, 1, 2), 1), ((2, 1, 0), 1), ((1, 2, 0), 2), ((0, 1, 2), None)]):
+        landing, store = str(tmp_path / f"landing{k}"), Store(spark, str(tmp_path / f"store{k}"))
+        for at in order:
+            spark.createDataFrame(files[at], schemas.RAW_OBSERVATIONS).coalesce(1).write.mode("append").parquet(landing)
+            if per_batch != 2:
+                stream = landed_observations(spark, landing, per_batch)
+                upsert_stream(stream, store, str(tmp_path / f"progress{k}")).awaitTermination()
+        upsert_stream(landed_observations(spark, landing), store, str(tmp_path / f"progress{k}")).awaitTermination()
+        outcomes.add(tuple(sorted((r.observed_at, r.value, r.raw_payload) for r in store.raw().collect())))
+    assert outcomes == {((date(2023, 1, 2), 5.0, "b"), (date(2024, 1, 1), 2.0, "a"), (date(2024, 1, 3), 7.0, "x"))}

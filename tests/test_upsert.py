@@ -1,5 +1,6 @@
-from datetime import date, datetime
+import os
 import uuid
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,21 @@ def test_only_in(spark):
     left = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     right = spark.createDataFrame([(2,), (2,)], "k int")
     assert [r.k for r in u.only_in(left, right, "k").collect()] == [1]
+
+
+def test_rows_outside_the_window_leave_their_year_intact(spark, tmp_path):
+    def rows(year, days, value):
+        return [("s", "a", date(year, 1, d), datetime(2024, 2, 1), "flow", "c", value, "u", None, None, "Provisional",
+                 None, "{}") for d in days]
+
+    store = Store(spark, str(tmp_path / "store"))
+    frame = lambda data: spark.createDataFrame(data, schemas.RAW_OBSERVATIONS)
+    sync_rows(store, frame(rows(2022, range(1, 11), 1.0) + rows(2023, range(1, 11), 1.0)))
+    counts = sync_window(store, frame(rows(2022, [3], 2.0) + rows(2023, [12], 1.0)), date(2023, 1, 1), date(2023, 12, 31))
+    assert (counts["new"], counts["updated"]) == (1, 1)
+    years = {r["year"]: r["count"] for r in store.raw().groupBy("year").count().collect()}
+    assert years == {2022: 10, 2023: 11}
+    from tidemark.session import shared_dir
+
+    shared = shared_dir(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(shared) if x.startswith("staged-")]

@@ -28,6 +28,15 @@ def one_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
     )
 
 
+#: Orders the revisions of an observation: newest first, draws by content.
+REVISION = ["collected_at", "raw_payload", "value"]
+
+
+def newest_revisions(df: DataFrame) -> DataFrame:
+    """One row per observation key; the newest ``collected_at`` is kept."""
+    return one_per_key(df, OBSERVATION_KEY, F.struct(*REVISION))
+
+
 def unique_observations(df: DataFrame) -> DataFrame:
     """One row per observation key; the greatest payload is kept."""
     return one_per_key(df, OBSERVATION_KEY, F.struct("raw_payload", "collected_at", "value"))
@@ -42,13 +51,17 @@ def latest_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
     return one_per_key(both, OBSERVATION_KEY, order).drop("_new")
 
 
-def upsert(existing: DataFrame, fetched: DataFrame) -> DataFrame:
+def upsert(existing: DataFrame, fetched: DataFrame, revisions: bool = False) -> DataFrame:
     """Merge fetched rows into existing ones, with the action taken on each row.
 
     ``action`` is untouched (not fetched), unchanged (fetched, same content, keeps
     its old ``collected_at``), updated or new; ``newly_approved`` marks updates
     that turned a known other status into Approved.  One full outer join on the
     key; ``fetched`` holds a key at most once, see :func:`unique_observations`.
+
+    With ``revisions``, fetched rows may be older than those that exist: the newest
+    revision stays in all its columns, so the outcome doesn't depend on the order in
+    which files arrive.
     """
     names = schemas.columns(schemas.RAW_OBSERVATIONS)
     rest = [c for c in names if c not in OBSERVATION_KEY]
@@ -61,10 +74,11 @@ def upsert(existing: DataFrame, fetched: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in COMPARED:
         same = same & F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
+    newer = F.struct(*[f"new.{c}" for c in REVISION]) > F.struct(*[f"old.{c}" for c in REVISION])
     action = (
         F.when(F.col("new").isNull(), "untouched")
         .when(F.col("old").isNull(), "new")
-        .when(same, "unchanged")
+        .when(same | ~newer if revisions else same, "unchanged")
         .otherwise("updated")
     )
     approved = (
@@ -77,6 +91,9 @@ def upsert(existing: DataFrame, fetched: DataFrame) -> DataFrame:
         if c in OBSERVATION_KEY:
             return F.col(c)
         before, after = F.col(f"old.{c}"), F.col(f"new.{c}")
+        if revisions:
+            taken = F.col("new").isNotNull() & (F.col("old").isNull() | newer)
+            return F.when(taken, after).otherwise(before).alias(c)
         if c in REFRESHED:
             return F.when(F.col("action").isin("new", "updated"), after).otherwise(before).alias(c)
         return F.when(F.col("action") == "new", after).otherwise(before).alias(c)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import date
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -15,7 +15,7 @@ from tidemark.operators.baseline import seasonal_baselines
 from tidemark.operators.daily import daily_entity_metrics, daily_stats
 from tidemark.operators.rollup import category_metrics
 from tidemark.operators.upsert import fetch_window, upsert, upsert_counts
-from tidemark.session import shared_dir
+from tidemark.session import remove, shared_dir
 from tidemark.settings import Settings
 from tidemark.sources import layers, sinks
 
@@ -121,11 +121,13 @@ def sync_window(
     """Upsert fetched rows into the year partitions of [since, end].
 
     The merged rows are staged once in the shared folder, counted while being
-    written, and swapped in partition by partition; partitions outside the window
-    are never read.  Nothing is replaced when no row is new or changed.
+    written, and swapped in partition by partition.  Rows outside the window are
+    merged too: their partitions are read with the others, for only what was read is
+    ever replaced.  Nothing is replaced when no row is new or changed.
     """
-    existing = layers.read_years(store.ensure_raw().raw(), since, end)
-    return _merge(store, existing, fetched, dry_run)
+    year = F.col("year")
+    inside = year.between(since.year, end.year) | _touched(fetched)
+    return _merge(store, store.ensure_raw().raw().filter(inside), fetched, dry_run)
 
 
 def sync_recent(
@@ -138,24 +140,44 @@ def sync_recent(
     return sync_window(store, inside, since, end)
 
 
-def sync_rows(store: Store, fetched: DataFrame) -> dict[str, int]:
+def sync_rows(store: Store, fetched: DataFrame, revisions: bool = False) -> dict[str, int]:
     """Upsert rows of any dates into exactly the partitions they fall into."""
-    touched = fetched.select("metric", F.year("observed_at").alias("year")).distinct()
-    existing = store.ensure_raw().raw().join(touched, ["metric", "year"], "left_semi")
-    return _merge(store, existing, fetched, dry_run=False)
+    existing = store.ensure_raw().raw().filter(_touched(fetched))
+    return _merge(store, existing, fetched, dry_run=False, revisions=revisions)
 
 
-def _merge(store: Store, existing: DataFrame, fetched: DataFrame, dry_run: bool) -> dict[str, int]:
+def _touched(fetched: DataFrame) -> Column:
+    """The partitions that the rows fall into, as a filter the scan can prune by.
+
+    To the driver come (metric, year) pairs, as many as there are folders to replace.
+    """
+    found = fetched.select("metric", F.year("observed_at").alias("year")).distinct().collect()
+    years: dict[str, list[int]] = {}
+    for metric, year in found:
+        years.setdefault(metric, []).append(year)
+    out = F.lit(False)
+    for metric, of_metric in sorted(years.items(), key=str):
+        out = out | ((F.col("metric") == metric) & F.col("year").isin(sorted(of_metric)))
+    return out
+
+
+def _merge(
+    store: Store, existing: DataFrame, fetched: DataFrame, dry_run: bool, revisions: bool = False
+) -> dict[str, int]:
     seen = Observation(f"upsert-{uuid4().hex}")
-    merged = upsert(existing, fetched).observe(seen, *upsert_counts())
+    merged = upsert(existing, fetched, revisions).observe(seen, *upsert_counts())
     if dry_run:
         merged.write.format("noop").mode("overwrite").save()
         return seen.get
     staged = f"{shared_dir(store.spark)}/staged-{uuid4().hex}"
-    merged.withColumn("year", F.year("observed_at")).write.parquet(staged)
-    counts = seen.get
-    if counts["new"] or counts["updated"]:
-        schema = merged.drop("action", "newly_approved").withColumn("year", F.lit(0)).schema
-        rows = store.spark.read.schema(schema).parquet(staged)
-        sinks.write_raw(rows, store.path("raw_observations"), only_touched=True)
-    return counts
+    try:
+        merged.withColumn("year", F.year("observed_at")).write.parquet(staged)
+        counts = seen.get
+        # a revision may be newer without any change of content
+        if counts["new"] or counts["updated"] or revisions:
+            schema = merged.drop("action", "newly_approved").withColumn("year", F.lit(0)).schema
+            rows = store.spark.read.schema(schema).parquet(staged)
+            sinks.write_raw(rows, store.path("raw_observations"), only_touched=True)
+        return counts
+    finally:
+        remove(store.spark, staged)

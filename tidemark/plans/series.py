@@ -57,7 +57,11 @@ def hydrograph(
         *[F.when(main, F.col(c)).alias(c) for c in PLOTTED],
     )
     days = F.explode(F.sequence(F.lit(start), F.lit(end)))
-    grid = pick(stations, entity_id).select("entity_id", days.alias("observed_at"))
+    # entities without a station row have a calendar too, and so has one asked for by name
+    known = pick(stations, entity_id).select("entity_id").union(rows.select("entity_id"))
+    if entity_id is not None:
+        known = known.union(stations.sparkSession.range(1).select(F.lit(entity_id)))
+    grid = known.distinct().select("entity_id", days.alias("observed_at"))
     values = ["_has", "average", "overlay", *PLOTTED]
     folded = (
         rows.unionByName(grid, allowMissingColumns=True)
@@ -114,8 +118,10 @@ def value_range(banded: DataFrame) -> DataFrame:
     return banded.groupBy("entity_id").agg(F.min(low).alias("y_min"), F.max(high).alias("y_max"))
 
 
-def raw_payload(raw: DataFrame, metric: str, day: date, entity_id: str | None = None) -> DataFrame:
-    """Payload text of the observations of one day."""
+def raw_payload(
+    raw: DataFrame, metric: str | None, day: date, entity_id: str | None = None
+) -> DataFrame:
+    """Payload text of the observations of one day, of one metric or of all."""
     return pick(on_day(raw, "observed_at", day), entity_id, metric).select(
         "entity_id", "metric", "observed_at", "raw_payload"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import schemas
-from tidemark.operators.upsert import unique_observations
+from tidemark.operators.upsert import newest_revisions
 from tidemark.plans.build import Store, sync_rows
 
 
@@ -25,13 +25,14 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Upsert every micro-batch into the raw layer.
 
-    The table is the state, so late rows need no watermark, and replaying a batch
-    after a failure changes nothing: its rows then count as unchanged.
+    The table is the state, so late rows need no watermark.  The newest revision of an
+    observation stays, within a batch and against the table, so neither batch
+    boundaries nor the order of files nor a replay change the outcome.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            sync_rows(store, unique_observations(batch))
+            sync_rows(store, newest_revisions(batch), revisions=True)
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if available_now:

@@ -426,12 +426,7 @@ FROM upserted WHERE observed_at = DATE '2024-01-18'
 """)
 def _(t: Tables) -> DataFrame:
     raw = t.raw_layer().raw()
-    frames = [series.raw_payload(raw, m, w.SNAPSHOT_END.replace(day=18))
-              for m in ("click", "error", "purchase", "signup", "view")]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return series.raw_payload(raw, None, w.SNAPSHOT_END.replace(day=18))
 
 
 FLASH = ("entity_id s, metric s, year i, region s, flashiness_index d6, n_days i, region_rank i, "
@@ -994,7 +989,7 @@ def _(t: Tables) -> DataFrame:
 @query("st1_upsert_stream", OBS, """
 SELECT * REPLACE (strftime(collected_at, '%Y-%m-%d %H:%M:%S') AS collected_at) FROM events_raw
 QUALIFY row_number() OVER (PARTITION BY entity_id, parameter_code, observed_at
-                           ORDER BY raw_payload DESC, collected_at DESC, value DESC) = 1
+                           ORDER BY collected_at DESC, raw_payload DESC, value DESC) = 1
 """)
 def _(t: Tables) -> DataFrame:
     """All events landed as files, streamed into a raw layer of their own."""
