@@ -117,4 +117,7 @@ def test_regions(spark):
     got = df.select(regions.region_of(F.col("name"), F.col("code"), F.col("curated"))).collect()
     assert [r[0] for r in got] == [r[3] for r in rows]
     assert len(regions.STATES) == 51
-    assert {abbr for _, abbr, _, region in regions.STATES if not region} == {"MI", "OK", "TX"}
+    assert {name for name, _, region in regions.STATES if not region} == {"MICHIGAN", "OKLAHOMA", "TEXAS"}
+    by_code = {code: region for _, code, region in regions.STATES}
+    assert by_code["06"] == "California" and by_code["41"] == by_code["53"] == "Pacific Northwest"
+    assert by_code["08"] == "Colorado River basin" and by_code["51"] == "Gulf Coast/Southeast"

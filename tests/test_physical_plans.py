@@ -9,6 +9,7 @@ import __spark_entry__ as contract
 from tidemark.operators.baseline import day_of_year_stats
 from tidemark.operators.daily import daily_entity_metrics
 from tidemark.operators.rollup import category_metrics
+from tidemark.plans import build
 from workload import registry
 from workload.tables import CFG, TODAY, tables
 
@@ -56,3 +57,25 @@ def test_risers_are_cut_before_the_shuffle(spark, without_broadcast):
     plan = plan_of(category_metrics(t.daily(), t.stations(), CFG))
     final, partial = plan.index("row_number(), 5, Final"), plan.index("row_number(), 5, Partial")
     assert "Exchange hashpartitioning(observed_at" in plan[final:partial]
+
+
+def test_daily_build_scans_the_raw_rows_once(spark, monkeypatch):
+    t, seen = tables(spark, SF_DIR), []
+    t.baselines()
+    monkeypatch.setattr(build.sinks, "write_daily", lambda df, path: seen.append(df))
+    build.build_daily(t.store, t.landed())
+    assert len(re.findall(r"FileScan parquet [^\n]*landed", plan_of(seen[0]))) == 1
+
+
+@pytest.mark.parametrize("name", ["q16_default_date", "a27_coverage_by_day"])
+def test_recent_days_prune_to_their_years(spark, name):
+    plan = plan_of(contract.queries()[name](spark, SF_DIR))
+    # the stations are the other scan, without partitions
+    pruned = [s for s in re.findall(r"PartitionFilters: \[([^\]]*)\]", plan) if s]
+    assert pruned and all(re.search(r"year#\d+ [<>]= \d{4}", s) for s in pruned)
+
+
+def test_location_scores_meet_entities_by_id(spark, without_broadcast):
+    plan = plan_of(contract.queries()["q24_overlay"](spark, SF_DIR))
+    assert not re.search(r"LeftOuter[^\n]*eia_location", plan)
+    assert not re.search(r"SortMergeJoin \[eia_location#\d+, period", plan)

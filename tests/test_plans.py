@@ -156,6 +156,7 @@ def test_health_report(spark, places):
     empty = raw.limit(0)
     report = quality.health_report(raw, raw, empty, places, DAY + timedelta(days=4))
     got = {(r.check, r.subject): (r.observed, r.status) for r in report.collect()}
+    lacking_metrics = set(Settings().expected_metrics) - {"streamflow", "gage_height"}
     assert got == {
         ("row_count", "raw_observations"): (3.0, "ok"),
         ("row_count", "daily_entity_metrics"): (3.0, "ok"),
@@ -167,6 +168,8 @@ def test_health_report(spark, places):
         ("days_old", "observed_at"): (4.0, "warn"),
         ("missing_metric", "metric"): (1.0, "fail"),
         ("missing_entity_id", "entity_id"): (2.0, "warn"),
+        **{("lacks_metric", m): (0.0, "fail") for m in lacking_metrics},
+        ("lacks_entity_id", "c"): (0.0, "warn"), ("lacks_entity_id", "d"): (0.0, "warn"),
     }
     nothing = {(r.check, r.subject): r.status for r in quality.health_report(
         empty, empty, empty, places, DAY).collect()}

@@ -20,7 +20,7 @@ def feature(code="00060", value="1.5", day="2024-01-02", coords=(-100.5, 40.25),
 def test_observation_pages(spark, tmp_path):
     pages = [
         [feature(), feature("00065", "n/a"), feature("99999", None, coords=None)],
-        [feature(value="2.5"), feature(entity="E-2", coords=())],
+        [feature(value="2.5", statistic_id="00003"), feature(entity="E-2", coords=())],
     ]
     for i, features in enumerate(pages):
         (tmp_path / f"p{i}.json").write_text(json.dumps({"features": features}, indent=1))
@@ -33,6 +33,7 @@ def test_observation_pages(spark, tmp_path):
     assert (first.metric, first.value, first.observed_at) == ("streamflow", 2.5, date(2024, 1, 2))
     assert (first.latitude, first.longitude, first.qualifier) == (40.25, -100.5, ["e"])
     assert first.collected_at == WHEN and json.loads(first.raw_payload)["value"] == "2.5"
+    assert json.loads(first.raw_payload)["statistic_id"] == "00003"      # nobody declared it
     assert (got["E-1", "00065"].metric, got["E-1", "00065"].value) == ("gage_height", None)
     odd = got["E-1", "99999"]
     assert (odd.metric, odd.value, odd.latitude) == ("99999", None, None)
@@ -42,8 +43,19 @@ def test_observation_pages(spark, tmp_path):
 
 
 def test_pages_as_text(spark):
-    df = spark.createDataFrame([(json.dumps({"features": [feature()]}),), ("broken",)], "page string")
-    assert landed.parse_pages(df, "page", schemas.OBSERVATION_PAGE).count() == 1
+    good = json.dumps({"features": [feature()]})
+    df = spark.createDataFrame([(good,), (None,)], "page string")
+    assert len(landed.parse_pages(df, "page", schemas.OBSERVATION_PAGE).collect()) == 1
+    for bad in ("broken", good[:-20]):
+        df = spark.createDataFrame([(good,), (bad,)], "page string")
+        with pytest.raises(Exception, match="(?i)malformed"):
+            landed.parse_pages(df, "page", schemas.OBSERVATION_PAGE).collect()
+
+
+def test_cut_off_page_file_is_an_error(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"features": [feature()]})[:-20])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        landed.read_pages(spark, str(tmp_path), schemas.OBSERVATION_PAGE).collect()
 
 
 def test_stations(spark, tmp_path):

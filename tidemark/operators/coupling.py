@@ -26,8 +26,8 @@ def flow_monthly(
     )
 
 
-def generation_base(monthly: DataFrame, locations: DataFrame) -> DataFrame:
-    """The location's monthly values repeated for each entity mapped to it.
+def for_each_entity(monthly: DataFrame, locations: DataFrame) -> DataFrame:
+    """Monthly rows of a ``location`` repeated for each entity mapped to it.
 
     One location may carry most entities, so its entities are spread over salts and
     its few months repeated for each.
@@ -40,11 +40,15 @@ def generation_base(monthly: DataFrame, locations: DataFrame) -> DataFrame:
     return (
         monthly.withColumn("_salt", F.explode(salts))
         .join(mapped, ["location", "_salt"])
-        .select(*PAIR, "generation_thousand_mwh")
-        .dropna()
+        .select("entity_id", *[c for c in monthly.columns if c != "location"])
     )
 
 
+def generation_base(monthly: DataFrame, locations: DataFrame) -> DataFrame:
+    """The location's monthly values for each of its entities, unknown ones left out."""
+    return for_each_entity(monthly, locations).select(*PAIR, "generation_thousand_mwh").dropna()
+
+
 def hourly_to_daily(hourly: DataFrame) -> DataFrame:
     """Daily mean of an hourly (ts, value) series; days without a value are left out."""
     return (
@@ -74,8 +78,8 @@ def entities_at(locations: DataFrame, wanted: list[str] | None = None) -> DataFr
 def extend_generation(base: DataFrame, extension: DataFrame, targets: DataFrame) -> DataFrame:
     """Append the extension's later months to each target entity.
 
-    Only months after the newest one anywhere in ``base`` are appended, and a month
-    the base already has is kept.  The appended months are one bounded list (twelve
+    Only months after the newest one anywhere in ``base`` are appended, so a month the
+    base already has is kept.  The appended months are one bounded list (twelve
     a year), attached as a scalar and exploded.
     """
     last = base.agg(F.max("period")).scalar()
@@ -87,7 +91,6 @@ def extend_generation(base: DataFrame, extension: DataFrame, targets: DataFrame)
     added = (
         targets.select("entity_id", F.explode(months).alias("m"))
         .select("entity_id", "m.period", "m.generation_thousand_mwh")
-        .join(base.select(*PAIR), PAIR, "left_anti")
     )
     return base.unionByName(added)
 

@@ -103,6 +103,11 @@ def seasonal_profile(baselines: DataFrame) -> DataFrame:
     )
 
 
+def newest_observed(raw: DataFrame) -> date | None:
+    """Newest day with a value, from a narrow pass without a shuffle of rows.  Runs a job."""
+    return observed(raw).agg(F.max("observed_at").alias("d")).first()["d"]
+
+
 def last_day(daily: DataFrame) -> Column:
     """Newest observed day, as a scalar subquery."""
     return daily.agg(F.max("observed_at")).scalar()
@@ -113,7 +118,8 @@ def daily_entity_metrics(
 ) -> DataFrame:
     """The dense daily layer, first observed day of a series .. ``today``.
 
-    ``daily`` comes from :func:`daily_stats`.  All windows share the partitioning
+    ``daily`` comes from :func:`daily_stats`.  Without ``today`` it is planned twice, once for
+    its newest day; :func:`newest_observed` gives that more cheaply.  All windows share the partitioning
     by series, and so does the join with the baselines: it is keyed by the series
     alone, the day-of-year being looked up in the joined profile.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import pinned
+from tidemark.session import held
 
 
 def competition_rank(
@@ -18,10 +18,10 @@ def competition_rank(
     rows becomes a single row, then split into ordered buckets at approximate
     percentiles of their group.  A rank is the count in higher buckets plus the
     count of larger values in the same bucket; no task sees a whole group.
-    The input is checkpointed, as it is joined to its own values.  Group keys are
+    The input is written once and reread, as it is joined to its own values.  Group keys are
     compared as structs, in which nulls are equal.
     """
-    df = pinned(df).withColumns({"_group": F.struct(*group), "_value": F.col(value)})
+    df = held(df).withColumns({"_group": F.struct(*group), "_value": F.col(value)})
     counts = (
         df.filter(F.col("_value").isNotNull())
         .groupBy("_group", "_value").agg(F.count("*").alias("_n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import coupling
 from tidemark.operators.baseline import seasonal_baselines
-from tidemark.operators.daily import daily_entity_metrics, daily_stats
+from tidemark.operators.daily import daily_entity_metrics, daily_stats, newest_observed
 from tidemark.operators.rollup import category_metrics
 from tidemark.operators.upsert import fetch_window, upsert, upsert_counts
 from tidemark.session import remove, shared_dir
@@ -78,7 +78,7 @@ def build_baselines(store: Store, raw: DataFrame, cfg: Settings = Settings()) ->
 def build_daily(store: Store, raw: DataFrame, today: date | None = None) -> None:
     """Daily layer from raw rows and the stored baselines."""
     sinks.write_daily(
-        daily_entity_metrics(daily_stats(raw), store.baselines(), today),
+        daily_entity_metrics(daily_stats(raw), store.baselines(), today or newest_observed(raw)),
         store.path("daily_entity_metrics"),
     )
 

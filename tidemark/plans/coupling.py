@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import classify, scores
 from tidemark.functions.calendar import period_month, period_start, shift_period
 from tidemark.operators.coupling import (
-    calendar_month_anomaly, rank_correlation, true_spans, whole_series_z,
+    calendar_month_anomaly, for_each_entity, rank_correlation, true_spans, whole_series_z,
 )
 from tidemark.operators.upsert import only_in
 from tidemark.settings import Settings
@@ -108,8 +108,10 @@ def location_scores(pairs: DataFrame, locations: DataFrame) -> DataFrame:
     )
 
 
-def _tight_location(final: DataFrame) -> DataFrame:
-    return in_tier(final).select("entity_id", "eia_location")
+def tight_scores(pairs: DataFrame, final: DataFrame, locations: DataFrame) -> DataFrame:
+    """The location's scores for each entity of the tight tier: (entity_id, period, gen_z)."""
+    scored = location_scores(pairs, locations).withColumnRenamed("eia_location", "location")
+    return for_each_entity(scored, in_tier(final))
 
 
 def flow_scores(pairs: DataFrame, entity_id: str | None = None) -> DataFrame:
@@ -129,8 +131,7 @@ def overlay(
     """
     return (
         flow_scores(pairs, entity_id)
-        .join(_tight_location(final), "entity_id", "left")
-        .join(location_scores(pairs, locations), ["eia_location", "period"], "left")
+        .join(tight_scores(pairs, final, locations), ["entity_id", "period"], "left")
         .select(
             "entity_id", "period", "flow_z", "gen_z",
             scores.moves_together(F.col("flow_z"), F.col("gen_z")).alias("together"),
@@ -152,14 +153,13 @@ def next_month_pairs(
     months: int = 1,
 ) -> DataFrame:
     """Flow of a month beside the generation ``months`` later, by calendar."""
-    later = location_scores(pairs, locations).select(
-        "eia_location", shift_period(F.col("period"), -months).alias("period"),
+    later = tight_scores(pairs, final, locations).select(
+        "entity_id", shift_period(F.col("period"), -months).alias("period"),
         F.col("gen_z").alias("gen_next_z"),
     )
     return (
         flow_scores(pairs, entity_id)
-        .join(_tight_location(final), "entity_id")
-        .join(later, ["eia_location", "period"])
+        .join(later, ["entity_id", "period"])
         .select("entity_id", "period", "flow_z", "gen_next_z")
         .dropna()
     )

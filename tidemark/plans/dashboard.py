@@ -6,13 +6,14 @@ year is derived from it so that the partition filter always applies.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify, scores
 from tidemark.functions.calendar import month_start
+from tidemark.functions.text import no_null_list
 from tidemark.settings import Settings
 
 
@@ -198,10 +199,10 @@ def region_table(
     rows = on_day(category, "date", day, metric)
     if region is not None:
         rows = rows.filter(F.col("region") == region)
-    kind = category.schema["fastest_risers"].dataType
+    kind = category.schema["fastest_risers"].dataType.elementType
     return rows.select(
         "region", "metric", "entity_count", "event_count", "average_anomaly",
-        F.coalesce("fastest_risers", F.array().cast(kind)).alias("fastest_risers"),
+        no_null_list(F.col("fastest_risers"), kind).alias("fastest_risers"),
     ).orderBy(F.col("average_anomaly").desc_nulls_last(), "region", "metric")
 
 
@@ -228,13 +229,34 @@ def risers(
     )
 
 
-def coverage_by_day(daily: DataFrame, stations: DataFrame, metric: str, days: int) -> DataFrame:
+def newest_day(daily: DataFrame, metric: str) -> date | None:
+    """Newest day of a metric.
+
+    Runs two small jobs: the newest year comes from the folder names, its newest day
+    from that folder only.
+    """
+    rows = daily.filter(F.col("metric") == metric)
+    year = rows.agg(F.max("year").alias("y")).first()["y"]
+    if year is None:
+        return None
+    return rows.filter(F.col("year") == year).agg(F.max("observed_at").alias("d")).first()["d"]
+
+
+def coverage_by_day(
+    daily: DataFrame, stations: DataFrame, metric: str, days: int, last: date | None = None
+) -> DataFrame:
     """Share of placed entities with a value on each of the metric's last days."""
     rows = daily.filter(F.col("metric") == metric)
-    last = rows.agg(F.max("observed_at")).scalar()
+    last = last or newest_day(daily, metric)
+    if last is None:
+        rows = rows.filter(F.lit(False))
+    else:
+        first = last - timedelta(days=days - 1)
+        rows = rows.filter(
+            F.col("year").between(first.year, last.year)
+            & F.col("observed_at").between(F.lit(first), F.lit(last)))
     return (
-        rows.filter(F.col("observed_at") > F.date_sub(last, days))
-        .join(stations.select("entity_id"), "entity_id")
+        rows.join(stations.select("entity_id"), "entity_id")
         .groupBy("observed_at")
         .agg(F.avg(F.col("average").isNotNull().cast("int")).alias("coverage"))
     )
@@ -244,10 +266,11 @@ def default_date(
     daily: DataFrame, stations: DataFrame, cfg: Settings = Settings()
 ) -> DataFrame:
     """Newest recent day with enough coverage, else the newest day."""
-    recent = coverage_by_day(daily, stations, cfg.flow_metric, cfg.default_lookback)
-    last = daily.filter(F.col("metric") == cfg.flow_metric).agg(F.max("observed_at")).scalar()
+    last = newest_day(daily, cfg.flow_metric)
+    recent = coverage_by_day(daily, stations, cfg.flow_metric, cfg.default_lookback, last)
     covered = F.max(F.when(F.col("coverage") >= cfg.default_coverage, F.col("observed_at")))
-    return recent.agg(covered.alias("_day")).select(F.coalesce("_day", last).alias("default_date"))
+    return recent.agg(covered.alias("_day")).select(
+        F.coalesce("_day", F.lit(last).cast("date")).alias("default_date"))
 
 
 def most_frequent(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.upsert import only_in
-from tidemark.session import pinned
+from tidemark.session import held
 from tidemark.settings import Settings
 
 
@@ -71,9 +71,15 @@ def raw_checks(profile: DataFrame, today: date, cfg: Settings = Settings()) -> D
 def missing_members(
     present: DataFrame, expected: DataFrame, key: str, soft: bool = False
 ) -> DataFrame:
-    """How many expected members are not present."""
-    lacking = only_in(expected, present, key).agg(F.count("*").alias("n"))
-    return _unpivot(lacking, [(f"missing_{key}", key, F.col("n"), _status(F.col("n") == 0, soft))])
+    """How many expected members are not present, and a row with the name of each."""
+    lacking = only_in(expected, present, key)
+    counted = _unpivot(
+        lacking.agg(F.count("*").alias("n")),
+        [(f"missing_{key}", key, F.col("n"), _status(F.col("n") == 0, soft))])
+    named = lacking.select(
+        F.lit(f"lacks_{key}").alias("check"), F.col(key).alias("subject"),
+        F.lit(0.0).alias("observed"), _status(F.lit(False), soft).alias("status"))
+    return counted.unionByName(named)
 
 
 def expected_metrics(spark, cfg: Settings) -> DataFrame:
@@ -86,7 +92,7 @@ def health_report(
     cfg: Settings = Settings(),
 ) -> DataFrame:
     """All checks.  Runs a job: the raw layer is read once, into a profile."""
-    profile = pinned(raw_profile(raw))
+    profile = held(raw_profile(raw))
     parts = [
         row_counts({"daily_entity_metrics": daily, "daily_category_metrics": category}),
         raw_checks(profile, today, cfg),

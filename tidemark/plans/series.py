@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import classify, scores
 from tidemark.functions.calendar import plus_years
+from tidemark.functions.text import name_or_id
 from tidemark.operators.ranking import competition_rank
-from tidemark.plans.dashboard import on_day
+from tidemark.plans.dashboard import on_day, slice_of_day
 from tidemark.settings import Settings
 
 PLOTTED = ["anomaly_score", "daily_change", "rise_rate_3d", "flow_percentile",
@@ -210,7 +211,7 @@ def personality_cards(
     daily: DataFrame, stations: DataFrame, entity_id: str, metric: str, day: date
 ) -> DataFrame:
     """One row for one entity: flashiness, percentile, proximity and all-time maximum."""
-    today = pick(on_day(daily, "observed_at", day), entity_id, metric).agg(
+    today = pick(slice_of_day(daily, stations, metric, day), entity_id).agg(
         F.max(F.struct("average", "flow_percentile", "record_proximity"))
     ).scalar()
     peak = all_time_max(daily, metric, entity_id).agg(F.max("historical_max")).scalar()
@@ -287,4 +288,4 @@ def entity_names(ids: DataFrame, stations: DataFrame) -> DataFrame:
     """Station name per id, the id itself when there is none."""
     return ids.select("entity_id").distinct().join(
         stations.select("entity_id", "station_name"), "entity_id", "left"
-    ).select("entity_id", F.coalesce("station_name", "entity_id").alias("label"))
+    ).select("entity_id", name_or_id(F.col("station_name"), F.col("entity_id")).alias("label"))

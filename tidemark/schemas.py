@@ -42,15 +42,6 @@ STATIONS = _struct(
     first_year_of_record=I, earliest_verified_year=I,
 )
 
-GAUGE_GEO = _struct(
-    entity_id=S, station_name=S, state=S, region=S, hydrologic_unit_code=S,
-    latitude=D, longitude=D, drainage_area=D, major_hydro_basin=S, hydro_relevant=B,
-)
-
-GAUGE_LOCATION = _struct(
-    entity_id=S, state=S, state_abbr=S, eia_location=S, eia_location_name=S, confidence=S,
-)
-
 MONTHLY_GENERATION = _struct(location=S, period=S, generation_thousand_mwh=D)
 
 ALIGNED_PAIRS = _struct(
@@ -76,7 +67,8 @@ OBSERVATION_PROPERTIES = _struct(
     monitoring_location_id=S, time=S, parameter_code=S, value=S, unit_of_measure=S,
     approval_status=S, qualifier=T.ArrayType(S),
 )
-OBSERVATION_FEATURE = _struct(properties=OBSERVATION_PROPERTIES, geometry=_POINT)
+# properties stay JSON text, so that fields nobody declared are kept
+OBSERVATION_FEATURE = _struct(properties=S, geometry=_POINT)
 OBSERVATION_PAGE = _struct(features=T.ArrayType(OBSERVATION_FEATURE))
 
 # One page of landed station-metadata features.
@@ -84,7 +76,7 @@ STATION_FEATURE = _struct(
     id=S,
     properties=_struct(
         id=S, monitoring_location_name=S, state_name=S, state_code=S,
-        hydrologic_unit_code=S, site_type=S, agency_code=S, drainage_area=D,
+        hydrologic_unit_code=S, site_type=S, agency_code=S, drainage_area=S,
     ),
     geometry=_POINT,
 )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +66,30 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_held: list[str] = []
+
+
+def held(df):
+    """The frame written once below the shared folder and read back from then on.
+
+    For a floating-point result that is joined to itself, as a second evaluation may add
+    the same numbers in another order.  Runs a job.  The files are removed when
+    the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/held-{uuid4().hex}"
+    if not _held:
+        atexit.register(release, spark)
+    _held.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the files of all frames held so far; those frames can't be read any more."""
+    jsc = spark.sparkContext._jsc
+    if jsc is not None and not jsc.sc().isStopped():
+        while _held:
+            remove(spark, _held.pop())

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import classify
 from tidemark.functions.regions import region_of
-from tidemark.functions.text import payload_json
 from tidemark.operators.upsert import one_per_key, unique_observations
 
 # Parameter code -> metric name.
@@ -21,16 +20,26 @@ METRIC_BY_CODE = {"00060": "streamflow", "00065": "gage_height", "00010": "water
 HOURLY_TIME = ("Interval Start", "Time", "Interval End", "timestamp")
 HOURLY_VALUE = ("NG: WAT", "Hydro")
 
+# A page that is not the expected JSON is an error; it must not vanish.
+STRICT = {"mode": "FAILFAST"}
+
 
 def read_pages(spark: SparkSession, path: str, page_schema) -> DataFrame:
-    """One row per feature of the landed page files (one JSON document per file)."""
-    pages = spark.read.schema(page_schema).option("multiLine", True).json(path)
+    """One row per feature of the landed page files (one JSON document per file).
+
+    A malformed page fails the job.
+    """
+    pages = spark.read.schema(page_schema).options(multiLine=True, **STRICT).json(path)
     return features(pages)
 
 
 def parse_pages(df: DataFrame, column: str, page_schema) -> DataFrame:
-    """One row per feature of pages held as JSON text in a column."""
-    return features(df.select(F.from_json(column, page_schema).alias("_page")).select("_page.*"))
+    """One row per feature of pages held as JSON text in a column; null is no page.
+
+    A malformed page fails the job.
+    """
+    page = F.from_json(column, page_schema, STRICT)
+    return features(df.select(page.alias("_page")).select("_page.*"))
 
 
 def features(pages: DataFrame) -> DataFrame:
@@ -52,10 +61,14 @@ def observations(
     feature_rows: DataFrame, collected_at: datetime | Column, source: str = "usgs_daily",
     names: dict[str, str] = METRIC_BY_CODE,
 ) -> DataFrame:
-    """Observation features flattened to the raw schema, one row per key."""
+    """Observation features flattened to the raw schema, one row per key.
+
+    ``raw_payload`` is the text of the properties as landed, undeclared fields included.
+    """
     when = collected_at if isinstance(collected_at, Column) else F.lit(collected_at)
-    p = "properties."
-    rows = feature_rows.select(
+    p = "_parsed."
+    parsed = F.from_json("properties", schemas.OBSERVATION_PROPERTIES)
+    rows = feature_rows.withColumn("_parsed", parsed).select(
         F.lit(source).alias("source"),
         F.col(p + "monitoring_location_id").alias("entity_id"),
         F.to_date(p + "time", "yyyy-MM-dd").alias("observed_at"),
@@ -68,7 +81,7 @@ def observations(
         _coordinate(0).alias("longitude"),
         F.col(p + "approval_status").alias("approval_status"),
         F.col(p + "qualifier").alias("qualifier"),
-        payload_json(F.col("properties")).alias("raw_payload"),
+        F.col("properties").alias("raw_payload"),
     )
     return unique_observations(rows)
 
@@ -84,7 +97,8 @@ def station_rows(feature_rows: DataFrame) -> DataFrame:
         _coordinate(1).alias("latitude"),
         _coordinate(0).alias("longitude"),
         *[F.col(p + c).alias(c) for c in
-          ("hydrologic_unit_code", "site_type", "agency_code", "drainage_area")],
+          ("hydrologic_unit_code", "site_type", "agency_code")],
+        F.col(p + "drainage_area").try_cast("double").alias("drainage_area"),
     ).filter(F.col("entity_id").isNotNull())
     return one_per_key(rows, ["entity_id"], F.struct(*rows.columns[1:]))
 

@@ -372,7 +372,7 @@ def _values(rows: list[tuple[str, ...]]) -> str:
 
 BLOCKS["state_regions"] = (
     "SELECT * FROM (VALUES "
-    + _values([(name, code, region) for name, _, code, region in STATES if region])
+    + _values([(name, code, region) for name, code, region in STATES if region])
     + ") AS v(name, code, region)"
 )
 BLOCKS["customer_regions"] = """

@@ -126,23 +126,34 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("b09_parsed_features",
-       "entity_id s, observed_at t, metric s, parameter_code s, value d4, unit s, latitude d4, "
-       "longitude d4, approval_status s, payload_value s",
+       "source s, entity_id s, observed_at t, metric s, parameter_code s, value d4, unit s, "
+       "latitude d4, longitude d4, approval_status s, qualifier s, payload_value s, raw_payload s",
        """
-SELECT 'U-' || user_id AS entity_id, CAST(ts AS DATE) AS observed_at,
-       CASE event_type WHEN 'view' THEN 'streamflow' ELSE event_type END AS metric,
-       CASE event_type WHEN 'view' THEN '00060' ELSE event_type END AS parameter_code,
-       CASE WHEN event_type <> 'error' THEN max(CAST(value AS VARCHAR)) END::DOUBLE AS value,
+SELECT 'usgs_daily' AS source, entity_id, CAST(day AS DATE) AS observed_at,
+       CASE code WHEN '00060' THEN 'streamflow' ELSE code END AS metric,
+       code AS parameter_code, TRY_CAST(arg_max(text, payload) AS DOUBLE) AS value,
        'unit' AS unit, 40.5 AS latitude, CAST(user_id AS DOUBLE) AS longitude,
-       'Provisional' AS approval_status,
-       CASE event_type WHEN 'error' THEN 'n/a' ELSE max(CAST(value AS VARCHAR)) END AS payload_value
-FROM events GROUP BY user_id, CAST(ts AS DATE), event_type
+       'Provisional' AS approval_status, 'e' AS qualifier,
+       arg_max(text, payload) AS payload_value, max(payload) AS raw_payload
+FROM (SELECT *, '{"monitoring_location_id":"' || entity_id || '","time":"' || day
+                || '","parameter_code":"' || code || '","value":"' || text
+                || '","unit_of_measure":"unit","approval_status":"Provisional",'
+                || '"qualifier":["e"],"time_series_id":"E-' || event_id || '"}' AS payload
+      FROM (SELECT user_id, event_id, 'U-' || user_id AS entity_id,
+                   strftime(ts, '%Y-%m-%d') AS day,
+                   CASE event_type WHEN 'view' THEN '00060' ELSE event_type END AS code,
+                   CASE event_type WHEN 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS text
+            FROM events))
+GROUP BY entity_id, user_id, day, code
 """)
 def _(t: Tables) -> DataFrame:
     rows = landed.observations(
         landed.parse_pages(t.pages(), "page", schemas.OBSERVATION_PAGE),
         F.lit(w.COLLECTED).cast("timestamp"))
-    return rows.withColumn("payload_value", text.payload_field(F.col("raw_payload"), "$.value"))
+    return rows.withColumns({
+        "qualifier": F.concat_ws(";", "qualifier"),
+        "payload_value": text.payload_field(F.col("raw_payload"), "$.value"),
+    })
 
 
 OBS = ("entity_id s, parameter_code s, observed_at t, value d4, approval_status s, qualifier s, "
@@ -201,9 +212,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("b11_stations",
        "entity_id s, station_name s, state s, region s, latitude d4, longitude d4, "
-       "hydrologic_unit_code s, drainage_area d4, first_year_of_record i, "
-       "earliest_verified_year i", """
-SELECT c.*, NULL::DOUBLE AS latitude, r.first_year_of_record,
+       "hydrologic_unit_code s, site_type s, agency_code s, drainage_area d4, "
+       "first_year_of_record i, earliest_verified_year i", """
+SELECT c.*, 41.25 AS latitude, 'Stream' AS site_type, 'X' AS agency_code, r.first_year_of_record,
        CASE WHEN r.first_year_of_record <= 2004 THEN 2004 END AS earliest_verified_year
 FROM customer_regions c LEFT JOIN record_starts r USING (entity_id)
 """)
@@ -367,14 +378,22 @@ def _(t: Tables) -> DataFrame:
 HYDRO = ("entity_id s, observed_at t, average d4, water_temp d4, anomaly_score d6, "
          "daily_change d4, rise_rate_3d d4, flow_percentile d6, completeness_score d1")
 HYDRO_SQL = """
-SELECT g.entity_id, g.observed_at, m.average, o.average AS water_temp, m.anomaly_score,
-       m.daily_change, m.rise_rate_3d, m.flow_percentile,
-       coalesce(m.completeness_score, 0.0) AS completeness_score
-FROM (SELECT entity_id, CAST(unnest(generate_series(DATE '{a}', DATE '{b}', INTERVAL 1 DAY))
-                             AS DATE) AS observed_at FROM stations) g
-LEFT JOIN (SELECT * FROM daily WHERE metric = '{m}') m USING (entity_id, observed_at)
-LEFT JOIN (SELECT * FROM daily WHERE metric = 'discount') o
-  ON m.entity_id = o.entity_id AND m.observed_at = o.observed_at
+SELECT entity_id, observed_at, max(average) FILTER (WHERE metric = '{m}') AS average,
+       CASE WHEN count(*) FILTER (WHERE metric = '{m}') > 0
+            THEN max(average) FILTER (WHERE metric = 'discount') END AS water_temp,
+       max(anomaly_score) FILTER (WHERE metric = '{m}') AS anomaly_score,
+       max(daily_change) FILTER (WHERE metric = '{m}') AS daily_change,
+       max(rise_rate_3d) FILTER (WHERE metric = '{m}') AS rise_rate_3d,
+       max(flow_percentile) FILTER (WHERE metric = '{m}') AS flow_percentile,
+       coalesce(max(completeness_score) FILTER (WHERE metric = '{m}'), 0.0) AS completeness_score
+FROM (SELECT entity_id, observed_at, metric, average, anomaly_score, daily_change, rise_rate_3d,
+             flow_percentile, completeness_score
+      FROM daily WHERE metric IN ('{m}', 'discount')
+                   AND observed_at BETWEEN DATE '{a}' AND DATE '{b}'
+      UNION ALL
+      SELECT entity_id, CAST(unnest(generate_series(DATE '{a}', DATE '{b}', INTERVAL 1 DAY))
+                             AS DATE), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM stations)
+GROUP BY entity_id, observed_at
 """
 WHOLE = (SPAN[0].replace(year=1994, month=12), SPAN[1].replace(year=2001))
 
@@ -980,6 +999,11 @@ UNION ALL SELECT 'missing_metric', 'metric', n, CASE WHEN n = 0 THEN 'ok' ELSE '
         WHERE m NOT IN (SELECT metric FROM raw))
 UNION ALL SELECT 'missing_entity_id', 'entity_id', n, CASE WHEN n = 0 THEN 'ok' ELSE 'warn' END
   FROM (SELECT count(*) AS n FROM stations WHERE entity_id NOT IN (SELECT entity_id FROM raw))
+UNION ALL SELECT 'lacks_metric', m, 0, 'fail'
+  FROM (VALUES ('price'), ('quantity'), ('discount'), ('tax')) v(m)
+  WHERE m NOT IN (SELECT metric FROM raw)
+UNION ALL SELECT 'lacks_entity_id', entity_id, 0, 'warn'
+  FROM stations WHERE entity_id NOT IN (SELECT entity_id FROM raw)
 """)
 def _(t: Tables) -> DataFrame:
     return quality.health_report(

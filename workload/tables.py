@@ -170,6 +170,8 @@ class Tables:
                 F.lit("unit").alias("unit_of_measure"),
                 F.lit("Provisional").alias("approval_status"),
                 F.array(F.lit("e")).alias("qualifier"),
+                # a field the library does not know
+                F.concat(F.lit("E-"), "event_id").alias("time_series_id"),
             ).alias("properties"),
             F.struct(F.array(F.col("user_id").cast("double"), F.lit(40.5)).alias("coordinates"))
             .alias("geometry"),
@@ -191,7 +193,7 @@ class Tables:
                 F.lit("X").alias("agency_code"),
                 F.col("c_acctbal").alias("drainage_area"),
             ).alias("properties"),
-            F.struct(F.array(F.col("c_nationkey").cast("double")).alias("coordinates"))
+            F.struct(F.array(F.col("c_nationkey").cast("double"), F.lit(41.25)).alias("coordinates"))
             .alias("geometry"),
         )
 
