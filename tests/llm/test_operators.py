@@ -205,6 +205,18 @@ def test_decontamination(docs, empty, spark):
     assert decontamination.contaminated(empty, bench).count() == 0
 
 
+def test_edited_copies_in_many_texts_are_all_found(spark):
+    words = [f"term{k}" for k in range(40)]
+    edited = " ".join("other" if k % 5 == 4 else w for k, w in enumerate(words))  # 8 of 37 seeds stay
+    rows = [(k, f"text number {k} holds {edited} and ends") for k in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for more in ([], [(20, " ".join(words))]):  # with a verbatim copy most seeds occur, and those of the others are frequent
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        got = by_id(decontamination.contaminated(docs, bench))
+        assert set(got) == {i for i, _ in rows + more} and {round(got[k]["score"], 2) for k in range(20)} == {0.71}
+        assert decontamination.decontaminate(docs, bench).count() == 0
+
+
 def test_alignment_against_the_plain_recurrence():
     p, rng = decontamination.SeedParams(), np.random.default_rng(5)
     for _ in range(30):

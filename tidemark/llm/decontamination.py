@@ -21,8 +21,8 @@ _BLANKS = bytes.maketrans(string.punctuation.encode() + string.ascii_uppercase.e
 
 @dataclass(frozen=True)
 class SeedParams:
-    """``gram`` words make a seed; seeds in more than ``rare_factor`` times as many texts as the item's median seed
-    are left out.  The bound follows the item, so one that is leaked very often keeps its seeds.
+    """``gram`` words make a seed.  Every seed counts; those in more than ``rare_factor`` times as many texts as the
+    item's median seed that occurs are joined over ``salts`` parts, because their rows are many.
 
     The filter of seeds has ``filter_bits`` bits whatever the benchmark's size; a fuller filter lets more
     passages through to the join, never fewer.  ``margin`` words around a run of seeds are aligned with.
@@ -31,6 +31,7 @@ class SeedParams:
 
     gram: int = 4
     rare_factor: float = 8.0
+    salts: int = 32
     filter_bits: int = 1 << 22
     margin: int = 64
     match: int = 2
@@ -147,11 +148,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: SeedParams = SeedPara
     hits = passages.select("passage", "tag", F.explode(F.arrays_zip("hashes", "places")).alias("hit")).select(
         "passage", "tag", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("place"))
     frequency = hits.select("hash", "tag").distinct().groupBy("hash").agg(F.count("*").alias("frequency"))
-    counted = seeds.join(frequency, "hash", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
     usual = F.percentile("frequency", F.lit(0.5)).over(Window.partitionBy("item_id"))
-    rare = (counted.withColumn("usual", usual)
-            .where(F.col("frequency") <= p.rare_factor * F.greatest("usual", F.lit(1.0))))
-    pairs = (hits.join(rare.select("hash", "item_id", "at", "length"), "hash")
+    counted = staged(seeds.join(frequency, "hash").withColumn("usual", usual).select(
+        "hash", "item_id", "at", "length", (F.col("frequency") > p.rare_factor * F.col("usual")).alias("often")), "counted")
+    # no seed is left out: the rows of frequent ones are spread, whatever their number
+    salts = F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1)))
+    often = counted.where("often").drop("often").withColumn("salt", salts)
+    spread = hits.withColumn("salt", F.pmod("passage", F.lit(p.salts)).cast("int")).join(often, ["hash", "salt"]).drop("salt")
+    pairs = (hits.join(counted.where("not often").drop("often"), "hash").unionByName(spread)
              .groupBy("passage", "item_id")
              .agg(F.min(F.col("place") - F.col("at")).alias("low_at"),
                   F.max(F.col("place") - F.col("at") + F.col("length")).alias("high_at")))
@@ -166,8 +170,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: SeedParams = SeedPara
                 low = max(0, r.low_at - len(item) // 4 - p.gram)
                 words = words[low:r.high_at + len(item) // 4 + p.gram]
                 number = {w: k for k, w in enumerate(dict.fromkeys(item))}
-                got, first, last = align(np.array([number.get(w, -1) for w in words]),
-                                         np.array([number[w] for w in item]), p)
+                held, asked = np.array([number.get(w, -1) for w in words]), np.array([number[w] for w in item])
+                # no alignment scores more than the words both have
+                common = np.minimum(np.bincount(held[held >= 0], minlength=len(number)), np.bincount(asked)).sum()
+                if common / len(item) < threshold:
+                    continue
+                got, first, last = align(held, asked, p)
                 value = got / (p.match * len(item))
                 if value >= threshold:
                     at = r.low + low
