@@ -189,6 +189,16 @@ def test_words_of_the_encoder_are_the_tokenizers():
         assert e.many(texts) == [e._ids(t) for t in texts]
 
 
+def test_all_pairs_of_white_space_go_as_the_tokenizer_has_them():
+    e = tokenfile.CachedEncoder(tokenfile.TokenFileParams(public_tokenizers.path("byte_bpe_50k.json")))
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["\0", "\u180e", "\u200b", "\ufeff", "  ", "\n\n", "\r\n"]
+    texts = ["a  b\tc", "one.\n\ntwo\tthree", "a\tb\n", "a\u00a0b\n", "x \0z y", "a\n\0b", "\0", "\0 a", "a \0", "\n", " ", "a."]
+    texts += [form.format(a, b) for a in spaces for b in spaces for form in ("one{}two{}three", "one.{}two,{}", "{}one{}two", "on{}{}e")]
+    for text in texts:
+        assert e.many([text]) == [e._ids(text)], text
+    assert e.many(texts) == [e._ids(t) for t in texts]
+
+
 def test_decontamination(docs, empty, spark):
     item = "rivers carry small stones from high mountains down to wide and quiet plains where farmers grow rice each summer"
     words = item.split()

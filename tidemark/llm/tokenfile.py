@@ -47,8 +47,8 @@ class CachedEncoder:
     """Byte-level BPE of whole texts, one word at a time.
 
     The tokenizer never merges across the blank or newline between two words, so the ids of a text are those of its
-    words, each with what stands before it.  Texts with other or doubled white space, or with a special
-    token, go to the tokenizer whole.
+    words, each with what stands before it.  Texts with other or doubled white space, with white space at
+    an end, with NUL or with a special token go to the tokenizer whole.
     """
 
     def __init__(self, p: TokenFileParams):
@@ -108,8 +108,10 @@ class CachedEncoder:
         parted, missing = {}, set()
         for k, text in enumerate(texts):
             pieces = ("\0" + text).replace("\n", " \n").split(" ")
-            # an odd count means that white space is not all single blanks and newlines between words
-            if not text or text[0].isspace() or len(text.split()) != len(pieces) or any(s in text for s in self.special):
+            words = text.split()
+            # as many pieces as words, and no white space but blanks and newlines: each of them parts two words
+            if (not words or text[0].isspace() or "\0" in text or len(words) != len(pieces)
+                    or len("".join(words)) != len(text) - len(pieces) + 1 or any(s in text for s in self.special)):
                 out[k] = self._ids(text)
                 continue
             found = list(map(self.known.get, pieces))
