@@ -332,3 +332,13 @@ def test_licenses(docs, empty, spark):
     assert found[3]["labels"] == "apache-2.0" and found[5]["labels"] == "mit"
     assert len(licenses.RULES) > 200 and licenses.scan(empty).count() == 0
     assert len(licenses.scan(docs).collect()) == len(ROWS)
+
+
+def test_every_alternative_of_a_license_rule_passes_its_gate(spark):
+    texts = {"licensed under the MIT License": ("mit", 0.95), "licenced under the MIT Licence": ("mit", 0.95),
+             "released under the ISC Licence": ("isc", 0.9), "subject to the MIT License": ("mit", 0.8),
+             "governed by the terms of the zlib licence": ("zlib", 0.8), "the OpenSSL Licence": ("openssl", 0.6),
+             "Unauthorised copying of this file is prohibited": ("proprietary", 0.8),
+             "unauthorized use is strictly prohibited": ("proprietary", 0.8), "a subject and a licence": ("", 0.0)}
+    found = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {t: (found[k]["labels"], found[k]["score"]) for k, t in enumerate(texts)} == texts

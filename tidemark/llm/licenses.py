@@ -17,8 +17,8 @@ _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` matches whole words parted by single blanks.  It is tried only where the text has the word
-    ``gate`` and the string ``keyword``.  Higher ``priority`` wins; ``confidence`` goes into the score."""
+    """``pattern`` matches whole words parted by single blanks.  It is tried only where the text has a word
+    of ``gate`` (parted by ``|``; every match holds one) and the string ``keyword``.  Higher ``priority`` wins; ``confidence`` goes into the score."""
 
     label: str
     pattern: str
@@ -102,14 +102,14 @@ _NAMES = [
     ("ms-rl", r"microsoft reciprocal license|ms rl", ""),
 ]
 
-# How a license is named in a text: a pattern around the name, the gate word, priority, confidence.
+# How a license is named in a text: a pattern around the name, the gate words, priority, confidence.
 _PHRASES = [
     (r"spdx license identifier (?:{})", "spdx", 90, 1.0),
-    (r"licen[sc]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[sc]e)?", "licensed", 80, 0.95),
+    (r"licen[sc]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[sc]e)?", "licensed|licenced", 80, 0.95),
     (r"(?:released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[sc]e)?",
      "under", 70, 0.9),
-    (r"(?:subject to|governed by) (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[sc]e)?", "terms", 60, 0.8),
-    (r"(?:the )?(?:{}) licen[sc]e", "license", 40, 0.6),
+    (r"(?:subject to|governed by) (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[sc]e)?", "subject|governed", 60, 0.8),
+    (r"(?:the )?(?:{}) licen[sc]e", "license|licence", 40, 0.6),
 ]
 
 # Notices that name no license of the table.
@@ -119,7 +119,7 @@ _NOTICES = [
     Rule("public-domain", r"in the public domain", "public", "public domain", 40, 0.5),
     Rule("proprietary", r"proprietary and confidential", "confidential", "proprietary", 60, 0.8),
     Rule("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction)(?: or distribution)? (?:of this \w+ )?is (?:strictly )?prohibited",
-         "unauthorized", "prohibited", 60, 0.8),
+         "unauthorized|unauthorised", "prohibited", 60, 0.8),
     Rule("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission", "hereby", 90, 0.95),
     Rule("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission", "distribute", 90, 0.95),
     Rule("bsd", r"redistribution and use in source and binary forms", "redistribution", "binary", 85, 0.9),
@@ -154,12 +154,19 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     A text is normalised once and searched once for all gate words; rules run only where their gate and keyword
     are.  Places of matches are narrow rows, so windows over them hold one text's detections.
     """
-    gates = "|".join(sorted({r.gate for r in rules}))
+    opened = {}
+    for r in rules:
+        for word in r.gate.split("|"):
+            opened.setdefault(word, set()).add(r.gate)
+    gates = "|".join(sorted(opened))
+    gates_of = F.create_map(*[c for word in sorted(opened) for c in (
+        F.lit(word), F.array(*map(F.lit, sorted(opened[word]))))])
     table = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.gate).alias("gate"), F.lit(r.keyword).alias("keyword"),
                                F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")) for k, r in enumerate(rules)])
     inner = F.trim(F.regexp_replace(lower_ascii(F.coalesce("text", F.lit(""))), _SEPARATORS, " "))
     norm = docs.select(F.col("doc_id"), F.concat(F.lit(" "), inner, F.lit(" ")).alias("norm"))
-    gated = norm.withColumn("gates", F.array_distinct(F.regexp_extract_all("norm", F.lit(f"(?<= )(?:{gates})(?= )"), F.lit(0))))
+    words = F.array_distinct(F.regexp_extract_all("norm", F.lit(f"(?<= )(?:{gates})(?= )"), F.lit(0)))
+    gated = norm.withColumn("gates", F.array_distinct(F.flatten(F.transform(words, lambda w: gates_of[w]))))
     tried = F.when(F.size("gates") > 0, F.filter(table, lambda r: F.array_contains("gates", r["gate"])
                                                  & F.contains("norm", r["keyword"])))
     places = F.transform(F.col("tried"), lambda r: F.struct(
