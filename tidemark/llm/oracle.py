@@ -88,3 +88,85 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS pay
        CASE WHEN strlen(payload) >= 100 AND page_id <> first THEN first END AS refers_to
 FROM firsts
 """
+
+# unsigned crc32 of a list of byte values: the table of its 256 steps, and the fold over it
+_CRC_TABLE = """
+crc_table AS (SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps)"""
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, {0}), "
+        "lambda a, b: xor(a >> 8, steps[1 + (xor(a, b) & 255)])), 4294967295)")
+_ASCII = "list_transform(string_split({}, ''), lambda c: ord(c)::BIGINT)"
+_LATIN = ("flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] "
+          "ELSE [192 + (ord(c) >> 6)::BIGINT, 128 + (ord(c) & 63)::BIGINT] END))")
+
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE.strip()},
+runs AS (
+  SELECT doc_id, {_LOWER.format("run")} AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+summed AS (
+  SELECT runs.*, {_CRC.format(_LATIN.format("coalesce(doc_id::VARCHAR, '') || ':' || run"))} AS h FROM runs, crc_table),
+edited AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END
+         AS word, n FROM summed),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (
+  SELECT word, place, substr(word, 1, place - 1) || substr(word, place + 1) AS cut
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS place FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.place = b.place AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.cut = w.word
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.cut = w.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(near.other, struct_pack(a := -o.n, b := near.other)) AS form
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 2 * w.n THEN f.word END AS form,
+         CASE WHEN f.n >= 2 * w.n THEN f.n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN words f ON f.word = b.form),
+chain AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.root WHERE e.form IS NULL
+"""
+
+OP12 = f"""
+WITH {_CRC_TABLE.strip()},
+split AS (
+  SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words,
+         CASE WHEN doc_id IS NULL THEN 1 ELSE {_CRC.format(_ASCII.format("doc_id::VARCHAR"))} END AS h
+  FROM documents, crc_table),
+places AS (
+  SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM split),
+planted AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM places),
+texts AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN words ELSE
+         list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS words
+  FROM planted),
+words AS (SELECT doc_id, n, unnest(words) AS word, unnest(range(n)) AS place FROM texts),
+same AS (
+  SELECT x.doc_id, x.place, y.place - x.place AS period FROM words x JOIN words y
+  ON x.doc_id = y.doc_id AND x.word = y.word AND y.place > x.place AND y.place - x.place <= x.n // 4),
+stretches AS (
+  SELECT doc_id, period, min(place) AS start, count(*) + period AS length
+  FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id, period ORDER BY place) AS stretch FROM same)
+  GROUP BY doc_id, period, stretch),
+runs AS (
+  SELECT doc_id, start, length, min(period) AS period FROM stretches
+  WHERE length >= greatest(6, 4 * period) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS place FROM runs),
+kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.place) AS text
+  FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.place = w.place GROUP BY w.doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_runs,
+         arg_max(struct_pack(start, length, period), struct_pack(a := length, b := -start, c := -period)) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontamination, fingerprint, langid, licenses, linededup, mixing, neardup, oracle, secrets, tokenfile, warc,
+    decontamination, fingerprint, langid, licenses, linededup, mixing, neardup, oracle, periodic, secrets, spelling,
+    tokenfile, warc,
 )
 from tidemark.llm.common import read_table, staged
 
@@ -66,6 +67,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.next_and_edited(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return spelling.variants(spelling.word_counts(docs, edit=spelling.one_letter_less))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.scan(read_table(spark, sf_dir, "documents"), edit=periodic.repeated_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    found = found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.col2")).alias("start"), "best.length",
+        (-F.col("best.col3")).alias("period"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"))
+    return found.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -77,6 +95,8 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: The others learn, tokenize or hash in ways SQL has no words for; tests hold them against brute force.
@@ -85,4 +105,6 @@ SQL: dict[str, str] = {
     "op4_line_dedup": oracle.OP4,
     "op6_near_duplicates": oracle.OP6,
     "op9_warc": oracle.OP9,
+    "op11_spelling_variants": oracle.OP11,
+    "op12_periodic_runs": oracle.OP12,
 }
