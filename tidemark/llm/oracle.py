@@ -170,3 +170,16 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length
        sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM documents d LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+# for pages whose article is an element of that name, with headings and paragraphs as its only blocks
+OP13 = r"""
+WITH articles AS (
+  SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '') AS article FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(string_split_regex(article, '</?(p|h1)>'), lambda b:
+         trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(b, '<br>', ' '), '<b>', ''),
+         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks
+  FROM articles),
+texts AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10) || chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""

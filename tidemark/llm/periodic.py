@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_RUNS = pa.list_(pa.struct([(name, pa.int64()) for name in ("start", "length", "period")]))
 
 Edit = Callable[[int | None, list[bytes]], list[bytes]]
 
@@ -268,21 +270,20 @@ def scan(docs: DataFrame, p: RunParams = RunParams(), edit: Edit | None = None)
     ``edit`` may change a row's words beforehand.  Null and blank texts have no words and no runs.  Rows are
     independent of each other, with equal ids or none; other columns are ignored.
     """
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            words = [words_of(t) for t in batch["text"]]
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
             if edit:
-                words = [edit(i, w) for i, w in zip(ids, words, strict=True)]
+                words = [edit(i, w) for i, w in zip(batch.column("doc_id").to_pylist(), words, strict=True)]
             found = runs_of_all(words, p)
-            yield pd.DataFrame({
-                "doc_id": pd.array(ids, "Int64"), "n_words": [len(w) for w in words],
-                "runs": [[{"start": s, "length": n, "period": q} for s, n, q in r] for r in found],
-                "text": [b" ".join(collapsed(w, r)).decode()
-                         for w, r in zip(words, found, strict=True)]})
+            cut = [b" ".join(collapsed(w, r)).decode() for w, r in zip(words, found, strict=True)]
+            listed = [[{"start": s, "length": n, "period": q} for s, n, q in r] for r in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(map(len, words), pa.int64()), pa.array(listed, _RUNS),
+                 pa.array(cut, pa.string())], ["doc_id", "n_words", "runs", "text"])
 
     kind = "doc_id long, n_words long, runs array<struct<start: long, length: long, period: long>>, text string"
-    return docs.select("doc_id", "text").mapInPandas(find, kind)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, kind)
 
 
 def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:

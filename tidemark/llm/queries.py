@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     decontamination, fingerprint, langid, licenses, linededup, mixing, neardup, oracle, periodic, secrets, spelling,
-    tokenfile, warc,
+    tokenfile, warc, wrapper,
 )
 from tidemark.llm.common import read_table, staged
 
@@ -84,6 +84,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("exponent_milli", F.expr("1000 * length div period"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.extract(read_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 #: The others learn, tokenize or hash in ways SQL has no words for; tests hold them against brute force.
@@ -107,4 +113,5 @@ SQL: dict[str, str] = {
     "op9_warc": oracle.OP9,
     "op11_spelling_variants": oracle.OP11,
     "op12_periodic_runs": oracle.OP12,
+    "op13_html_extraction": oracle.OP13,
 }

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +59,22 @@ def word_counts(docs: DataFrame, edit: Edit | None = None) -> DataFrame:
     Counted per batch of rows, so a word may come in several rows.  ``edit`` may change the runs of a document
     (doc_id, run) beforehand.  Null texts have no words; rows are independent of each other, with equal ids or none.
     """
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter[str] = Counter()
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text is None:
                     continue
                 runs = Counter(_LETTER_RUN.findall(text.encode().translate(_LOWERED).decode()))
                 if edit:
-                    changed = edit(None if pd.isna(doc_id) else int(doc_id), list(runs))
-                    for word, n in zip(changed, runs.values(), strict=True):
+                    for word, n in zip(edit(doc_id, list(runs)), runs.values(), strict=True):
                         total[word] += n
                 else:
                     total.update(runs)
-            yield pd.DataFrame({"word": list(total), "n": list(total.values())}, columns=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())],
+                                             ["word", "n"])
 
-    return docs.select("doc_id", "text").mapInPandas(count, "word string, n long")
+    return docs.select("doc_id", "text").mapInArrow(count, "word string, n long")
 
 
 def vocabulary(counts: DataFrame, p: VariantParams = VariantParams()) -> DataFrame:
