@@ -1,9 +1,10 @@
+import json
 from datetime import date, datetime
 
 from tidemark import schemas
 from tidemark.operators.upsert import latest_wins
 from tidemark.plans.build import Store
-from tidemark.streaming.landing import landed_observations, upsert_stream
+from tidemark.streaming.landing import landed_observations, landed_pages, upsert_page_stream, upsert_stream
 
 
 def rows(value, seen, days):
@@ -47,3 +48,39 @@ def test_batches_and_order_of_files_do_not_matter(spark, tmp_path):
         upsert_stream(landed_observations(spark, landing), store, str(tmp_path / f"progress{k}")).awaitTermination()
         outcomes.add(tuple(sorted((r.observed_at, r.value, r.raw_payload) for r in store.raw().collect())))
     assert outcomes == {((date(2023, 1, 2), 5.0, "b"), (date(2024, 1, 1), 2.0, "a"), (date(2024, 1, 3), 7.0, "x"))}
+
+
+def test_a_bad_page_is_put_aside_and_the_others_land(spark, tmp_path):
+    def feature(**changes):
+        properties = {"monitoring_location_id": "a", "time": "2024-01-01", "parameter_code": "00060", "value": "1.5"} | changes
+        return {"properties": {k: v for k, v in properties.items() if v is not None}, "geometry": {"coordinates": [1, 2]}}
+
+    def page(*features):
+        return json.dumps({"features": list(features)}, indent=1)
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    pages = {
+        "good": page(feature(), feature(time="2024-01-02", value="n/a", extra={"x": 1})), "cut": page(feature(value="9"))[:-20],
+        "undated": page(feature(time=None), feature(time="someday"), feature(time="2024-01-03")), "list": "[1, 2]",
+        "other": '{"type": "x"}', "nobody": page(feature(monitoring_location_id=None), feature(parameter_code=None)), "none": page(),
+    }
+    for name, text in pages.items():
+        (landing / f"{name}.json").write_text(text)
+    store, progress = Store(spark, str(tmp_path / "store")), str(tmp_path / "progress")
+
+    def run():
+        stream = landed_pages(spark, str(landing), files_per_batch=3)
+        upsert_page_stream(stream, store, progress, compact_after=2).awaitTermination()
+
+    run()
+    (landing / "later.json").write_text(page(feature(value="2.5"), feature(time="2024-02-01")))
+    run()
+    run()
+    got = {(r.entity_id, r.observed_at.isoformat()): r.value for r in store.raw().collect()}
+    assert got == {("a", "2024-01-01"): 2.5, ("a", "2024-01-02"): None, ("a", "2024-01-03"): 1.5, ("a", "2024-02-01"): 1.5}
+    rejected = sorted((r.path.rsplit("/", 1)[1], r.reason) for r in store.rejected().collect())
+    assert rejected == [("cut.json", "malformed page"), ("list.json", "malformed page"), ("nobody.json", "no entity"),
+                        ("nobody.json", "no parameter"), ("other.json", "no features"), ("undated.json", "no date"),
+                        ("undated.json", "no date")]
+    assert [r.content for r in store.rejected().filter("reason = 'malformed page' and path like '%cut%'").collect()] == [pages["cut"]]

@@ -3,11 +3,10 @@ import uuid
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import upsert as u
-from tidemark.plans.build import Store, sync_recent, sync_rows, sync_window
+from tidemark.plans.build import Store, compact_raw, sync_recent, sync_rows, sync_window
 from tidemark.sources import sinks
 
 OLD, NEW = datetime(2024, 1, 1), datetime(2024, 2, 1)
@@ -29,6 +28,12 @@ def store(spark, tmp_path):
     return Store(spark, str(tmp_path / uuid.uuid4().hex))
 
 
+def data_files(path):
+    """Size of every data file below a folder, by relative path."""
+    return {os.path.relpath(os.path.join(at, name), path): os.path.getsize(os.path.join(at, name))
+            for at, _, names in os.walk(path) for name in names if name.endswith(".parquet")}
+
+
 def actions(df):
     return {(r.entity_id, r.observed_at.isoformat()): r for r in df.collect()}
 
@@ -87,8 +92,7 @@ def test_sync_replaces_only_touched_partitions(spark, store, frame):
     sinks.write_raw(frame([
         row("a", "2022-06-01"), row("a", "2023-06-01"), row("a", "2024-01-10"),
         row("b", "2024-01-10", metric="stage")]), store.path("raw_observations"))
-    files = {r.f for r in store.raw().filter("year < 2024").select(
-        F.input_file_name().alias("f")).collect()}
+    files = data_files(store.path("raw_observations"))
     fetched = frame([row("a", "2024-01-10", value=5.0, seen=NEW), row("c", "2024-01-11")])
     since, end = date(2024, 1, 1), date(2024, 1, 31)
     dry = sync_window(store, fetched, since, end, dry_run=True)
@@ -96,8 +100,8 @@ def test_sync_replaces_only_touched_partitions(spark, store, frame):
     assert store.raw().filter("value = 5").count() == 0
     assert sync_window(store, fetched, since, end) == dry
     assert store.raw().count() == 5
-    assert {r.f for r in store.raw().filter("year < 2024").select(
-        F.input_file_name().alias("f")).collect()} == files
+    written = data_files(store.path("raw_observations")).keys() - files.keys()
+    assert {name.split("/")[1:3] == ["metric=flow", "year=2024"] for name in written} == {True}
     again = sync_window(store, fetched, since, end)
     assert (again["new"], again["updated"], again["unchanged"]) == (0, 0, 2)
     counts = {(r.metric, r.year): r.n_rows for r in sinks.partition_counts(store.raw()).collect()}
@@ -133,3 +137,47 @@ def test_rows_outside_the_window_leave_their_year_intact(spark, tmp_path):
 
     shared = shared_dir(spark).removeprefix("file:")
     assert not [x for x in os.listdir(shared) if x.startswith("staged-")]
+
+
+def test_rows_without_a_date_are_kept_and_known_again(spark, store):
+    def dated(entity, day, value, metric="flow"):
+        return ("s", entity, day and date.fromisoformat(day), NEW, metric, "c", value, "u", None, None, "Provisional", None, "{}")
+
+    frame = lambda *rows: spark.createDataFrame(list(rows), schemas.RAW_OBSERVATIONS)
+    assert sync_rows(store, frame(dated("E1", None, 2.0)))["new"] == 1
+    assert sync_rows(store, frame(dated("E2", None, 3.0)))["new"] == 1
+    assert sync_rows(store, frame(dated("E2", None, 3.0)))["new"] == 0
+    mixed = frame(dated("E1", None, 5.0), dated("E1", "2024-01-01", 1.0), dated("E3", None, 1.0, None), dated(None, "2024-01-01", 4.0))
+    assert sync_rows(store, mixed) == {"new": 3, "updated": 1, "unchanged": 0, "provisional_to_approved": 0}
+    assert sync_rows(store, mixed) == {"new": 0, "updated": 0, "unchanged": 4, "provisional_to_approved": 0}
+    got = {(r.entity_id, r.observed_at, r.metric): (r.value, r.year) for r in store.raw().collect()}
+    day = date(2024, 1, 1)
+    assert got == {("E1", None, "flow"): (5.0, None), ("E2", None, "flow"): (3.0, None), ("E1", day, "flow"): (1.0, 2024),
+                   ("E3", None, None): (1.0, None), (None, day, "flow"): (4.0, 2024)}
+    recent = sync_recent(store, mixed, date(2024, 1, 3))
+    assert recent["outside"] == 2 and recent["unchanged"] == 2
+
+
+def test_upsert_against_brute_force_with_nulls_in_each_key(spark, store):
+    import itertools
+    import random
+
+    rng, keys = random.Random(6), list(itertools.product(["a", None], ["c", "d", None], ["2023-12-31", "2024-01-01", None]))
+    known = {}
+    for step in range(4):
+        batch = {}
+        for entity, code, day in rng.sample(keys, 11):
+            batch[entity, code, day] = ("s", entity, day and date.fromisoformat(day), NEW, code, code, float(rng.randint(0, 2)), "u",
+                                        None, None, rng.choice([None, "Approved", "Provisional"]), None, f"{step}")
+        counts = sync_rows(store, spark.createDataFrame(list(batch.values()), schemas.RAW_OBSERVATIONS))
+        changed = {k for k, r in batch.items() if k in known and (known[k][6], known[k][10]) != (r[6], r[10])}
+        assert counts["new"] == len(batch.keys() - known.keys()) and counts["updated"] == len(changed)
+        assert counts["unchanged"] == len(batch.keys() & known.keys()) - len(changed)
+        assert counts["provisional_to_approved"] == sum(known[k][10] == "Provisional" and batch[k][10] == "Approved" for k in changed)
+        known |= {k: r for k, r in batch.items() if k in changed or k not in known}
+        if step == 2:
+            compact_raw(store)
+        got = sorted(map(str, (tuple(r)[:13] for r in store.raw().select(*schemas.columns(schemas.RAW_OBSERVATIONS)).collect())))
+        assert got == sorted(map(str, known.values()))
+    merged = u.upsert(store.raw(), spark.createDataFrame(list(known.values()), schemas.RAW_OBSERVATIONS))
+    assert {r.action for r in merged.collect()} == {"unchanged"} and merged.count() == len(known)

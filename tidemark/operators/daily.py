@@ -15,8 +15,9 @@ SERIES = ["entity_id", "metric"]
 
 
 def observed(raw: DataFrame) -> DataFrame:
-    """Observations that carry a value; the others are gaps."""
-    return raw.select(*SERIES, "observed_at", "value").filter(F.col("value").isNotNull())
+    """Observations that carry a value and a date; the others are gaps, or belong to no day."""
+    return raw.select(*SERIES, "observed_at", "value").filter(
+        F.col("value").isNotNull() & F.col("observed_at").isNotNull())
 
 
 def daily_stats(raw: DataFrame) -> DataFrame:

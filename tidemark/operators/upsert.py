@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,26 +53,44 @@ def latest_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
     return one_per_key(both, OBSERVATION_KEY, order).drop("_new")
 
 
+def same_key(left: DataFrame, right: DataFrame, key: list[str] = OBSERVATION_KEY) -> Column:
+    """Equality of all key columns, in which nulls are equal; Spark still joins by hash or sort."""
+    return reduce(and_, [left[c].eqNullSafe(right[c]) for c in key])
+
+
 def upsert(existing: DataFrame, fetched: DataFrame, revisions: bool = False) -> DataFrame:
     """Merge fetched rows into existing ones, with the action taken on each row.
 
     ``action`` is untouched (not fetched), unchanged (fetched, same content, keeps
     its old ``collected_at``), updated or new; ``newly_approved`` marks updates
     that turned a known other status into Approved.  One full outer join on the
-    key; ``fetched`` holds a key at most once, see :func:`unique_observations`.
+    key, in which nulls are equal; ``fetched`` holds a key at most once, see :func:`unique_observations`.
 
     With ``revisions``, fetched rows may be older than those that exist: the newest
     revision stays in all its columns, so the outcome doesn't depend on the order in
     which files arrive.
     """
+    return _merged(existing, fetched, revisions, "full_outer").drop("written")
+
+
+def upserted_rows(existing: DataFrame, fetched: DataFrame, revisions: bool = False) -> DataFrame:
+    """As :func:`upsert`, but only the fetched rows, with ``written``: whether the stored row changes.
+
+    Existing rows are reduced to the fetched keys before anything is merged.
+    """
+    keys = fetched.select(*[F.col(c).alias(c) for c in OBSERVATION_KEY])
+    return _merged(existing.join(keys, same_key(existing, keys), "left_semi"), fetched, revisions, "right_outer")
+
+
+def _merged(existing: DataFrame, fetched: DataFrame, revisions: bool, how: str) -> DataFrame:
     names = schemas.columns(schemas.RAW_OBSERVATIONS)
-    rest = [c for c in names if c not in OBSERVATION_KEY]
     old = schemas.conform(existing, schemas.RAW_OBSERVATIONS).select(
-        *OBSERVATION_KEY, F.struct(*rest).alias("old")
+        *[F.col(c).alias(f"_old_{c}") for c in OBSERVATION_KEY], F.struct(*names).alias("old")
     )
     new = schemas.conform(fetched, schemas.RAW_OBSERVATIONS).select(
-        *OBSERVATION_KEY, F.struct(*rest).alias("new")
+        *[F.col(c).alias(f"_new_{c}") for c in OBSERVATION_KEY], F.struct(*names).alias("new")
     )
+    on = reduce(and_, [old[f"_old_{c}"].eqNullSafe(new[f"_new_{c}"]) for c in OBSERVATION_KEY])
     same = F.lit(True)
     for c in COMPARED:
         same = same & F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
@@ -86,23 +106,25 @@ def upsert(existing: DataFrame, fetched: DataFrame, revisions: bool = False) ->
         & (F.col("old.approval_status") != "Approved")
         & (F.col("new.approval_status") == "Approved")
     )
+    # a revision may be newer without any change of content
+    taken = F.col("new").isNotNull() & (F.col("old").isNull() | newer)
+    written = taken if revisions else F.col("action").isin("new", "updated")
 
     def resolved(c: str) -> Column:
-        if c in OBSERVATION_KEY:
-            return F.col(c)
         before, after = F.col(f"old.{c}"), F.col(f"new.{c}")
+        if c in OBSERVATION_KEY:
+            return F.coalesce(before, after).alias(c)
         if revisions:
-            taken = F.col("new").isNotNull() & (F.col("old").isNull() | newer)
             return F.when(taken, after).otherwise(before).alias(c)
         if c in REFRESHED:
             return F.when(F.col("action").isin("new", "updated"), after).otherwise(before).alias(c)
         return F.when(F.col("action") == "new", after).otherwise(before).alias(c)
 
     return (
-        old.join(new, OBSERVATION_KEY, "full_outer")
+        old.join(new, on, how)
         .withColumn("action", action)
         .withColumn("newly_approved", F.coalesce(approved, F.lit(False)))
-        .select(*[resolved(c) for c in names], "action", "newly_approved")
+        .select(*[resolved(c) for c in names], "action", "newly_approved", written.alias("written"))
     )
 
 

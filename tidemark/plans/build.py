@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import date
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -14,10 +14,11 @@ from tidemark.operators import coupling
 from tidemark.operators.baseline import seasonal_baselines
 from tidemark.operators.daily import daily_entity_metrics, daily_stats, newest_observed
 from tidemark.operators.rollup import category_metrics
-from tidemark.operators.upsert import fetch_window, upsert, upsert_counts
+from tidemark.operators.upsert import fetch_window, upsert_counts, upserted_rows
 from tidemark.session import remove, shared_dir
 from tidemark.settings import Settings
 from tidemark.sources import layers, sinks
+from tidemark.sources.versions import Versioned, touching
 
 
 @dataclass(frozen=True)
@@ -31,19 +32,27 @@ class Store:
         return f"{self.root}/{name}"
 
     def raw(self) -> DataFrame:
+        """The raw rows: those of the folders, and over them what later batches brought."""
         return layers.read_layer(
             self.spark, self.path("raw_observations"), schemas.RAW_OBSERVATIONS)
 
+    def raw_files(self) -> Versioned:
+        return Versioned(self.spark, self.path("raw_observations"), sinks.LAYOUT)
+
     def ensure_raw(self) -> Store:
         """Create an empty raw layer unless there is one."""
-        empty = self.spark.createDataFrame([], schemas.RAW_OBSERVATIONS)
-        (
-            empty.withColumn("year", F.year("observed_at"))
-            .write.mode("ignore").partitionBy("metric", "year")
-            .parquet(self.path("raw_observations"))
-        )
+        if self.raw_files().version() is None:
+            sinks.write_raw(self.spark.createDataFrame([], schemas.RAW_OBSERVATIONS), self.path("raw_observations"))
         return self
 
+    def rejected(self) -> DataFrame:
+        """Pages and features that a load of pages left out, with the reason."""
+        files = self.rejected_files()
+        return files.read(schemas.REJECTED) if files.version() else self.spark.createDataFrame([], schemas.REJECTED)
+
+    def rejected_files(self) -> Versioned:
+        return Versioned(self.spark, self.path("rejected"))
+
     def baselines(self) -> DataFrame:
         return layers.read_table(
             self.spark, self.path("seasonal_baselines"), schemas.SEASONAL_BASELINES)
@@ -118,66 +127,63 @@ def rebuild_coupling(
 def sync_window(
     store: Store, fetched: DataFrame, since: date, end: date, dry_run: bool = False
 ) -> dict[str, int]:
-    """Upsert fetched rows into the year partitions of [since, end].
+    """Upsert the rows fetched for [since, end], and any beyond.
 
-    The merged rows are staged once in the shared folder, counted while being
-    written, and swapped in partition by partition.  Rows outside the window are
-    merged too: their partitions are read with the others, for only what was read is
-    ever replaced.  Nothing is replaced when no row is new or changed.
+    Only what is new or changed is written, as a layer over the stored rows (see :func:`compact_raw`); what is written
+    grows with the batch and not with the folders it falls into.  Rows without a date or metric have a folder
+    of their own (``__HIVE_DEFAULT_PARTITION__``), in which the key alone tells them apart.
     """
-    year = F.col("year")
-    inside = year.between(since.year, end.year) | _touched(fetched)
-    return _merge(store, store.ensure_raw().raw().filter(inside), fetched, dry_run)
+    return _merge(store, fetched, dry_run)
 
 
 def sync_recent(
     store: Store, fetched: DataFrame, today: date, cfg: Settings = Settings()
 ) -> dict[str, int]:
-    """Upsert the default window: recent revisions plus days after the last one."""
+    """Upsert the default window: recent revisions plus days after the last one.
+
+    Rows outside the window or without a date are left out and counted as ``outside``.
+    """
     newest = store.ensure_raw().raw().agg(F.max("observed_at").alias("d")).first()["d"]
     since, end = fetch_window(today, newest, cfg.revision_days, cfg.straggler_days)
-    inside = fetched.filter(F.col("observed_at").between(F.lit(since), F.lit(end)))
-    return sync_window(store, inside, since, end)
+    inside = F.coalesce(F.col("observed_at").between(F.lit(since), F.lit(end)), F.lit(False))
+    outside = fetched.agg(F.count_if(~inside)).first()[0]
+    return sync_window(store, fetched.filter(inside), since, end) | {"outside": outside}
 
 
 def sync_rows(store: Store, fetched: DataFrame, revisions: bool = False) -> dict[str, int]:
-    """Upsert rows of any dates into exactly the partitions they fall into."""
-    existing = store.ensure_raw().raw().filter(_touched(fetched))
-    return _merge(store, existing, fetched, dry_run=False, revisions=revisions)
+    """Upsert rows of any dates."""
+    return _merge(store, fetched, dry_run=False, revisions=revisions)
 
 
-def _touched(fetched: DataFrame) -> Column:
-    """The partitions that the rows fall into, as a filter the scan can prune by.
+def compact_raw(store: Store) -> int:
+    """Fold the layers of past upserts into the folders they touch; returns the number of those folders.
 
-    To the driver come (metric, year) pairs, as many as there are folders to replace.
+    The rows stay the same.  Until the new folders are complete, readers see the old ones.
     """
-    found = fetched.select("metric", F.year("observed_at").alias("year")).distinct().collect()
-    years: dict[str, list[int]] = {}
-    for metric, year in found:
-        years.setdefault(metric, []).append(year)
-    out = F.lit(False)
-    for metric, of_metric in sorted(years.items(), key=str):
-        out = out | ((F.col("metric") == metric) & F.col("year").isin(sorted(of_metric)))
-    return out
+    return store.raw_files().fold(_RAW_LAYER, sinks.save_layer(sinks.RAW_ORDER))
+
+
+_RAW_LAYER = layers.with_partitions(schemas.RAW_OBSERVATIONS, sinks.LAYOUT)
 
 
 def _merge(
-    store: Store, existing: DataFrame, fetched: DataFrame, dry_run: bool, revisions: bool = False
+    store: Store, fetched: DataFrame, dry_run: bool, revisions: bool = False
 ) -> dict[str, int]:
-    seen = Observation(f"upsert-{uuid4().hex}")
-    merged = upsert(existing, fetched, revisions).observe(seen, *upsert_counts())
-    if dry_run:
-        merged.write.format("noop").mode("overwrite").save()
-        return seen.get
-    staged = f"{shared_dir(store.spark)}/staged-{uuid4().hex}"
+    files = store.ensure_raw().raw_files()
+    asked, decided = (f"{shared_dir(store.spark)}/{name}-{uuid4().hex}" for name in ("fetched", "decided"))
     try:
-        merged.withColumn("year", F.year("observed_at")).write.parquet(staged)
-        counts = seen.get
-        # a revision may be newer without any change of content
-        if counts["new"] or counts["updated"] or revisions:
-            schema = merged.drop("action", "newly_approved").withColumn("year", F.lit(0)).schema
-            rows = store.spark.read.schema(schema).parquet(staged)
-            sinks.write_raw(rows, store.path("raw_observations"), only_touched=True)
+        # both are read several times, and are of the size of the batch
+        schemas.conform(fetched, schemas.RAW_OBSERVATIONS).withColumn("year", F.year("observed_at")).write.parquet(asked)
+        batch = store.spark.read.schema(_RAW_LAYER).parquet(asked)
+        existing = store.raw().filter(touching(batch, sinks.LAYOUT))
+        merged = upserted_rows(existing, batch, revisions).withColumn("year", F.year("observed_at"))
+        merged.write.parquet(decided)
+        rows = store.spark.read.schema(merged.schema).parquet(decided)
+        counts = rows.agg(*upsert_counts(), F.count_if("written").alias("written")).first().asDict()
+        if counts.pop("written") and not dry_run:
+            rows = rows.filter("written").drop("action", "newly_approved", "written")
+            files.lay_over(files.write(rows, sinks.save_layer(sinks.RAW_ORDER)), schemas.OBSERVATION_KEY)
         return counts
     finally:
-        remove(store.spark, staged)
+        remove(store.spark, asked)
+        remove(store.spark, decided)

@@ -61,6 +61,9 @@ CORRELATION_FINAL = _struct(
     tier=S, decoupled=B, significant=B,
 )
 
+# What a load of pages left out.
+REJECTED = _struct(batch_id=T.LongType(), path=S, reason=S, content=S)
+
 # One page of landed observation features.
 _POINT = _struct(coordinates=T.ArrayType(D))
 OBSERVATION_PROPERTIES = _struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -65,13 +65,21 @@ def observations(
 
     ``raw_payload`` is the text of the properties as landed, undeclared fields included.
     """
+    return unique_observations(observation_rows(feature_rows, collected_at, source, names))
+
+
+def observation_rows(
+    feature_rows: DataFrame, collected_at: datetime | Column, source: str = "usgs_daily",
+    names: dict[str, str] = METRIC_BY_CODE, kept: tuple[str, ...] = (),
+) -> DataFrame:
+    """Observation features flattened to the raw schema, with all their repeats; columns ``kept`` stay beside."""
     when = collected_at if isinstance(collected_at, Column) else F.lit(collected_at)
     p = "_parsed."
     parsed = F.from_json("properties", schemas.OBSERVATION_PROPERTIES)
-    rows = feature_rows.withColumn("_parsed", parsed).select(
+    return feature_rows.withColumn("_parsed", parsed).select(
         F.lit(source).alias("source"),
         F.col(p + "monitoring_location_id").alias("entity_id"),
-        F.to_date(p + "time", "yyyy-MM-dd").alias("observed_at"),
+        F.try_to_date(p + "time", "yyyy-MM-dd").alias("observed_at"),
         when.cast("timestamp").alias("collected_at"),
         metric_of(F.col(p + "parameter_code"), names).alias("metric"),
         F.col(p + "parameter_code").alias("parameter_code"),
@@ -82,8 +90,39 @@ def observations(
         F.col(p + "approval_status").alias("approval_status"),
         F.col(p + "qualifier").alias("qualifier"),
         F.col("properties").alias("raw_payload"),
+        *kept,
+    )
+
+
+def sorted_pages(
+    pages: DataFrame, collected_at: datetime | Column, source: str = "usgs_daily",
+    names: dict[str, str] = METRIC_BY_CODE,
+) -> tuple[DataFrame, DataFrame]:
+    """(observation rows, rejects) of landed pages (page, path): nothing is lost, and nothing stops the load.
+
+    Rejected with their path, the reason and their text are pages that are not the expected JSON, and features
+    without an entity, a parameter or a date.  A null page is none.  Rows may repeat a key.
+    """
+    expected = T.StructType([*schemas.OBSERVATION_PAGE.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("page", expected, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    read = pages.filter(F.col("page").isNotNull()).withColumn("_page", parsed)
+    fault = (
+        F.when(F.col("_page").isNull() | F.col("_page._corrupt").isNotNull(), "malformed page")
+        .when(F.col("_page.features").isNull(), "no features")
+    )
+    read = read.withColumn("reason", fault)
+    bad_pages = read.filter(F.col("reason").isNotNull()).select("path", "reason", F.col("page").alias("content"))
+    carried = [c for c in pages.columns if c != "page"]
+    feature = read.filter(F.col("reason").isNull()).select(*carried, F.explode("_page.features").alias("_feature"))
+    rows = observation_rows(feature.select(*carried, "_feature.*"), collected_at, source, names, kept=("path",))
+    lacks = (
+        F.when(F.col("entity_id").isNull(), "no entity")
+        .when(F.col("parameter_code").isNull(), "no parameter")
+        .when(F.col("observed_at").isNull(), "no date")
     )
-    return unique_observations(rows)
+    rows = rows.withColumn("reason", lacks)
+    bad_rows = rows.filter(F.col("reason").isNotNull()).select("path", "reason", F.col("raw_payload").alias("content"))
+    return rows.filter(F.col("reason").isNull()).drop("path", "reason"), bad_pages.unionByName(bad_rows)
 
 
 def station_rows(feature_rows: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, types as T
 from pyspark.sql import functions as F
 
+from tidemark.sources.versions import Versioned
 
-def _with_partitions(schema: T.StructType, names: list[str]) -> T.StructType:
+
+def with_partitions(schema: T.StructType, names: list[str]) -> T.StructType:
     known = set(schema.fieldNames())
     kinds = {"year": T.IntegerType()}
     extra = [T.StructField(n, kinds.get(n, T.StringType())) for n in names if n not in known]
@@ -19,12 +21,12 @@ def read_layer(
     spark: SparkSession, path: str, schema: T.StructType,
     partitions: tuple[str, ...] = ("metric", "year"),
 ) -> DataFrame:
-    """A layer stored as metric=/year=/; filters on those columns prune folders."""
-    return spark.read.schema(_with_partitions(schema, list(partitions))).parquet(path)
+    """The current version of a layer stored as metric=/year=/; filters on those columns prune folders."""
+    return Versioned(spark, path, partitions).read(with_partitions(schema, list(partitions)))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return Versioned(spark, path).read(schema)
 
 
 def read_years(layer: DataFrame, since: date, end: date) -> DataFrame:
@@ -34,10 +36,11 @@ def read_years(layer: DataFrame, since: date, end: date) -> DataFrame:
 
 def read_dimension(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header; codes with leading zeros stay text."""
-    return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-        .option("mode", "PERMISSIVE").csv(path)
-    )
+    def load(reader: DataFrameReader, paths: list[str]) -> DataFrame:
+        options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE"}
+        return reader.options(**options).csv(paths)
+
+    return Versioned(spark, path).read(schema, load)
 
 
 def register(**views: DataFrame) -> None:

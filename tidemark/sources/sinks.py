@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.versions import Save, Versioned
+
 LAYOUT = ["metric", "year"]
 
 
@@ -18,17 +20,32 @@ def laid_out(df: DataFrame, order: list[str]) -> DataFrame:
     return df.hint("rebalance", *LAYOUT).sortWithinPartitions(*LAYOUT, *order)
 
 
+def save_layer(order: list[str]) -> Save:
+    """Writer of metric=/year=/ folders."""
+    def save(df: DataFrame, target: str) -> None:
+        laid_out(df, order).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*LAYOUT).parquet(target)
+
+    return save
+
+
+def _replace(df: DataFrame, path: str, save: Save, partitions: list[str], only_touched: bool = False) -> None:
+    target = Versioned(df.sparkSession, path, partitions)
+    target.replace(target.write(df, save), only_touched)
+
+
 def write_layer(df: DataFrame, path: str, order: list[str], only_touched: bool = False) -> None:
-    """Write metric=/year=/ folders; replace all of them or only those in ``df``."""
-    (
-        laid_out(df, order).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic" if only_touched else "static")
-        .partitionBy(*LAYOUT).parquet(path)
-    )
+    """Write metric=/year=/ folders; replace all of them or only those in ``df``.
+
+    Readers see the old rows until all new ones are written (see :mod:`tidemark.sources.versions`).
+    """
+    _replace(df, path, save_layer(order), LAYOUT, only_touched)
+
+
+RAW_ORDER = DAILY_ORDER = ["entity_id", "observed_at"]
 
 
 def write_daily(df: DataFrame, path: str) -> None:
-    write_layer(df, path, ["entity_id", "observed_at"])
+    write_layer(df, path, DAILY_ORDER)
 
 
 def write_category(df: DataFrame, path: str) -> None:
@@ -37,7 +54,7 @@ def write_category(df: DataFrame, path: str) -> None:
 
 def write_raw(df: DataFrame, path: str, only_touched: bool = False) -> None:
     rows = df if "year" in df.columns else df.withColumn("year", F.year("observed_at"))
-    write_layer(rows, path, ["entity_id", "observed_at"], only_touched)
+    write_layer(rows, path, RAW_ORDER, only_touched)
 
 
 def partition_counts(layer: DataFrame) -> DataFrame:
@@ -45,11 +62,19 @@ def partition_counts(layer: DataFrame) -> DataFrame:
     return layer.groupBy(*LAYOUT).agg(F.count("*").alias("n_rows"))
 
 
+def save_table(order: list[str] | None = None) -> Save:
+    """Writer of an unpartitioned table, clustered by its sort columns."""
+    def save(df: DataFrame, target: str) -> None:
+        if order:
+            df = df.hint("rebalance", order[0]).sortWithinPartitions(*order)
+        df.write.mode("overwrite").parquet(target)
+
+    return save
+
+
 def write_table(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """An unpartitioned table, clustered by its sort columns."""
-    if order:
-        df = df.hint("rebalance", order[0]).sortWithinPartitions(*order)
-    df.write.mode("overwrite").parquet(path)
+    """Replace an unpartitioned table; readers see the old rows until then."""
+    _replace(df, path, save_table(order), [])
 
 
 def flat_lists(df: DataFrame) -> DataFrame:
@@ -60,8 +85,13 @@ def flat_lists(df: DataFrame) -> DataFrame:
     ])
 
 
+def _save_csv(df: DataFrame, target: str) -> None:
+    flat_lists(df).write.mode("overwrite").option("header", True).csv(target)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    flat_lists(df).write.mode("overwrite").option("header", True).csv(path)
+    """Replace a CSV table; readers see the old rows until then."""
+    _replace(df, path, _save_csv, [])
 
 
 def export_history(raw: DataFrame, entity_id: str, metric: str) -> DataFrame:

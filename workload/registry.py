@@ -1029,6 +1029,44 @@ def _(t: Tables) -> DataFrame:
     return _flat(build.Store(t.spark, t.store.path("streamed")).raw())
 
 
+PAGE_EVENTS = """
+SELECT *, '{"monitoring_location_id":"' || entity_id || '","time":"' || day || '","parameter_code":"'
+       || code || '","value":"' || text || '","unit_of_measure":"unit","approval_status":"Provisional",'
+       || '"qualifier":["e"],"time_series_id":"E-' || event_id || '"}' AS payload
+FROM (SELECT event_id, user_id, 'U-' || user_id AS entity_id, strftime(ts, '%Y-%m-%d') AS day,
+             CASE event_type WHEN 'view' THEN '00060' ELSE event_type END AS code,
+             CASE event_type WHEN 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS text
+      FROM events)
+"""
+
+
+@query("st1_page_stream",
+       "source s, entity_id s, observed_at t, metric s, parameter_code s, value d4, latitude d4, longitude d4, "
+       "approval_status s, qualifier s, raw_payload s", f"""
+SELECT 'usgs_daily' AS source, entity_id, CAST(day AS DATE) AS observed_at,
+       CASE code WHEN '00060' THEN 'streamflow' ELSE code END AS metric, code AS parameter_code,
+       TRY_CAST(arg_max(text, payload) AS DOUBLE) AS value, 40.5 AS latitude,
+       CAST(user_id AS DOUBLE) AS longitude, 'Provisional' AS approval_status, 'e' AS qualifier,
+       max(payload) AS raw_payload
+FROM ({PAGE_EVENTS}) WHERE event_id % 50 > 2 GROUP BY entity_id, user_id, day, code
+""")
+def _(t: Tables) -> DataFrame:
+    """Landed pages, some of them faulty, streamed into a raw layer of their own."""
+    return _flat(t.page_stream().raw())
+
+
+@query("st1_rejected_pages", "reason s, content s, n i", f"""
+SELECT CASE event_id % 50 WHEN 0 THEN 'malformed page' WHEN 1 THEN 'no date' ELSE 'no entity' END AS reason,
+       CASE event_id % 50 WHEN 0 THEN left('{{"features":[{{"properties":' || payload, 60)
+            WHEN 1 THEN replace(payload, '"time":"' || day || '",', '')
+            ELSE replace(payload, '"monitoring_location_id":"' || entity_id || '",', '') END AS content, count(*) AS n
+FROM ({PAGE_EVENTS}) WHERE event_id % 50 <= 2 GROUP BY 1, 2
+""")
+def _(t: Tables) -> DataFrame:
+    """What the same stream put aside."""
+    return t.page_stream().rejected().groupBy("reason", "content").agg(F.count("*").alias("n"))
+
+
 # -- driver contract ---------------------------------------------------------
 
 def spark_query(name: str) -> Callable:

@@ -17,7 +17,7 @@ import hashlib
 import threading
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import Settings, schemas
@@ -159,10 +159,13 @@ class Tables:
 
     def pages(self) -> DataFrame:
         """Events as landed feature pages, one JSON document per row."""
+        return self.pages_of(F.date_format("ts", "yyyy-MM-dd"), F.concat(F.lit("U-"), "user_id")).select("page")
+
+    def pages_of(self, time: Column, entity: Column) -> DataFrame:
         feature = F.struct(
             F.struct(
-                F.concat(F.lit("U-"), "user_id").alias("monitoring_location_id"),
-                F.date_format("ts", "yyyy-MM-dd").alias("time"),
+                entity.alias("monitoring_location_id"),
+                time.alias("time"),
                 F.when(F.col("event_type") == "view", "00060").otherwise(F.col("event_type"))
                 .alias("parameter_code"),
                 F.when(F.col("event_type") == "error", "n/a")
@@ -177,9 +180,19 @@ class Tables:
             .alias("geometry"),
         )
         return self.given("events").select(
-            F.to_json(F.struct(F.array(feature).alias("features"))).alias("page")
+            "event_id", F.to_json(F.struct(F.array(feature).alias("features"))).alias("page")
         )
 
+    def faulty_pages(self) -> DataFrame:
+        """The pages as a careless source lands them: some cut off, some without a date or an entity.
+
+        Every event stays; which fault it gets follows from its number.
+        """
+        fault = F.col("event_id") % 50
+        whole = self.pages_of(F.when(fault != 1, F.date_format("ts", "yyyy-MM-dd")),
+                              F.when(fault != 2, F.concat(F.lit("U-"), "user_id")))
+        return whole.select(F.when(fault == 0, F.expr("left(page, 60)")).otherwise(F.col("page")).alias("value"))
+
     def station_features(self) -> DataFrame:
         return self.given("customer").select(
             F.concat(F.lit("C-"), "c_custkey").alias("id"),
@@ -308,6 +321,24 @@ class Tables:
         return self.store
 
 
+    def page_stream(self) -> build.Store:
+        """The faulty pages landed as files, then streamed into a store of their own."""
+        target = build.Store(self.spark, self.store.path("from_pages"))
+
+        def job() -> None:
+            from tidemark.streaming.landing import landed_pages, upsert_page_stream
+
+            landing = self.store.path("landing_pages")
+            self.faulty_pages().repartition(6, "value").write.mode("overwrite").text(landing)
+            stream = landed_pages(self.spark, landing, files_per_batch=2, page_per_line=True)
+            upsert_page_stream(
+                stream, target, self.store.path("page_progress"), compact_after=2,
+                collected_at=F.lit(COLLECTED)).awaitTermination()
+
+        self._once("page_stream", job)
+        return target
+
+
 _OPEN: dict[tuple[str, str], Tables] = {}
 
 
