@@ -99,8 +99,7 @@ def test_likelihood_finds_the_similarity():
 
 def test_mixing(docs, empty):
     p = mixing.MixParams()
-    sized = mixing.sized_documents(docs, p)
-    plan = {r["source"]: r for r in mixing.repetition_plan(sized, p).collect()}
+    plan = {r["source"]: r for r in mixing.planned(docs, p).plan.collect()}
     sizes = {s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _, x in ROWS if x == s) for s in ("a", "b", "c", None)}
     total, open_, target = sum(sizes.values()), dict(zip(("a", "b", "c", None), (5, 2, 1, 5), strict=True)), {}
     left = total
@@ -123,6 +122,31 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty, p).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(docs):
+    names = ["target", "whole", "cut", "extra", "source_size", "plan_source", "draw", "copy", "row", "size", "code", "part",
+             "nth", "occurrence", "before", "n", "again", "unsure"]
+    from pyspark.sql import functions as F
+
+    wide = docs.select("doc_id", "text", "source", *[F.lit(f"own {n}").alias(n) for n in names])
+    mixed = mixing.mix(wide)
+    assert mixed.columns == wide.columns and mixed.count() == mixing.mix(docs).count() > 0
+    assert [tuple(r) for r in mixed.select(*names).distinct().collect()] == [tuple(f"own {n}" for n in names)]
+
+
+@pytest.mark.parametrize("ids", ["none", "one"])
+def test_rows_without_ids_of_their_own_meet_the_target(spark, ids):
+    # a third of all rows has no id, or all the same, and half of those are equal
+    rows = [(k, "w " * 50, "a") for k in range(600)]
+    rows += [(None if ids == "none" else 7_000, f"{k} " * 50 if k % 2 else "same " * 50, "b") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.planned(docs.repartition(5))
+    targets = {r["source"]: r["target"] for r in taken.plan.collect()}
+    got = mixing.with_copies(taken.sized, taken.plan).selectExpr("source", "size * copies as words").groupBy("source").sum().collect()
+    assert all(abs(r["sum(words)"] - targets[r["source"]]) <= 25 for r in got) and len(got) == 2
+    first, second = (sorted(map(str, mixing.mix(docs.repartition(n)).collect())) for n in (3, 8))
+    assert first == second
+
+
 def test_language(docs, empty, spark):
     texts = {"en": "the house of the man with the dog and the thing ", "de": "das haus und der hund mit dem mann ist schön ",
              "fr": "la maison avec le chien et les hommes où être "}
@@ -245,14 +269,65 @@ def test_secrets(docs, empty, spark):
     spans = f"assign:0:27,access:{text.index('AKIA')}:{text.index(' y')}"
     assert (got[11]["n_assign"], got[11]["n_access"], got[11]["n_hex"]) == (1, 1, 0) and got[11]["spans"] == spans
     assert got[11]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest() and got[4]["spans"] == ""
-    new = "the bearer credential is 9fKq2LxT7vWm4RzB8nYc3HdJ and é nothing"
-    dull = "the session handler is configuration_environment_production_2024 here"
-    rows = by_id(secrets.scan(spark.createDataFrame([(1, new), (2, dull), (3, "x" * 200_000)], "doc_id long, text string")))
-    at = new.index("9fKq")
-    assert rows[1]["spans"] == f"novel:{at}:{at + 24}" and rows[2]["spans"] == "" and rows[3]["n_novel"] == 0
+    assert got[11]["n_measured"] == 2 and got[11]["novelty"].startswith("9:27:") and got[4]["novelty"] == ""
+    key, short = "9fKq2LxT7vWm4RzB8nYc3HdJ", "9fKq2LxT7vWm4Rz"
+    texts = {f"the bearer credential is {key} and é nothing": key, f'{{"{key}": "api token"}}': key, f"bearer {short}": short,
+             f"{short} (é my password)": short, f"x={short}" + " word" * 30 + " token": None, "token " + "word " * 30 + short: None,
+             "the session handler is configuration_environment_production_2024 here": None, "x" * 200_000: None,
+             "secret " * 30_000: None, "auth " + "plainwordsonly" * 3: None}
+    rows = by_id(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for k, (text, found) in enumerate(texts.items()):
+        at = text.index(found) if found else 0
+        assert rows[k]["spans"] == (f"novel:{at}:{at + len(found)}" if found else ""), text[:60]
+    assert rows[6]["n_measured"] == 1  # measured, but not new
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_of_the_table_against_plain_expressions_and_plain_compression(spark):
+    import random
+    import zstandard
+
+    rng, signs, rows = random.Random(8), "abcdefXYZ0123456789+/_.=-", []
+    forms = ["password={}", "API_KEY : '{}'", "passwd:\"{}\"", "token = {}", "AKIA{}", "{}", "secretary {}", '"{}": "client_secret"']
+    for k in range(300):
+        words = [rng.choice(["é", "wort", "the", "x" * 9, "Token"]) for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 3)):
+            value = "".join(rng.choices("0123456789abcdef" if rng.random() < 0.3 else "ABCDEF0123456789" if rng.random() < 0.3 else signs,
+                                        k=rng.randint(4, 40)))
+            words.insert(rng.randint(0, len(words)), rng.choice(forms).format(value))
+        rows.append((k, " ".join(words)))
+    got, p = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))), secrets.NoveltyParams()
+    words = zstandard.ZstdCompressionDict(secrets._DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    zip_ = zstandard.ZstdCompressor(level=12, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+    n_measured = 0
+    for i, text in rows:
+        spans = [(m.start(), m.end(), 0) for m in re.finditer(
+            r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 8]
+        spans += [(*m.span(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [(*m.span(), 2) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
+        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[2] == k for s in spans) for k in range(3)]
+        reported = [s.split(":") for s in got[i]["spans"].split(",") if s.startswith("novel")]
+        for measured in filter(None, got[i]["novelty"].split(",")):
+            a, b, added = map(int, measured.split(":"))
+            around = (text[max(0, a - p.context):a] + " " + text[b:b + p.context] + " ").encode()
+            assert added == len(zip_.compress(around + text[a:b].encode())) - len(zip_.compress(around))
+            n_measured += 1
+            if any(x <= a and b <= y for x, y, _ in spans):
+                continue
+            assert (["novel", str(a), str(b)] in reported) == (added >= max(p.least_bytes, p.least_share * (b - a)))
+        # every string of mixed kinds with a sensitive word near it is measured, or lies in a fixed form
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", text):
+            kinds = [next(k for k, c in enumerate((str.isdigit, str.islower, str.isupper, lambda _: True)) if c(x)) for x in m[0]]
+            mixed = sum(x != y for x, y in zip(kinds, kinds[1:])) >= p.changes and 0 in kinds and (1 in kinds or 2 in kinds)
+            near = any(w.end() > m.start() - p.reach and w.start() < m.end() + p.reach
+                       for s in secrets._SENSITIVE for w in re.finditer(re.escape(s), text, re.IGNORECASE | re.ASCII))
+            if mixed and near and not any(x <= m.start() and m.end() <= y for x, y, _ in spans):
+                assert f"{m.start()}:{m.end()}:" in got[i]["novelty"]
+    assert n_measured > 200
+
+
 def test_warc(spark):
     big, other = "<p>" + "ä" * 200 + "</p>", "<p>" + "b" * 70_000 + "</p>"
     rows = [(3, "http://x/a b\r\n", big, 1), (1, None, big, 1), (2, "u", "tiny", 1), (4, "u", "tiny", 1), (5, "u", None, 1),

@@ -24,9 +24,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """Seeded 60-bit number of an id: the order in which documents get one more repetition."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def _draw(text: Column) -> Column:
+    """Seeded 60-bit number: the order in which documents get one more repetition."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -97,15 +96,68 @@ def repetition_plan(sized: DataFrame, p: MixParams) -> DataFrame:
         "source", "source_size", "target", "whole", "cut", F.coalesce("best.draw", F.lit(-1)).alias("extra")), "repetitions")
 
 
-def sized_documents(docs: DataFrame, p: MixParams) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                       draw(F.col("doc_id"), p.seed).alias("draw"))
+def _packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, source, size, code): the row in one struct, so that no name of it clashes, and a hash of it all."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"),
+                       F.xxhash64(F.to_json(row)).alias("code"))
 
 
-def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """``docs`` (with source and draw) beside its source's plan, and ``copies`` of each document."""
+def _repeated_ids(docs: DataFrame) -> DataFrame:
+    return (docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n"))
+            .where("n > 1").select("again"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``occurrence``, from 1, of each row among those with its ``code``.
+
+    Counted within each part of the input, and from there on by the counts of the parts before, so equal rows may be any
+    share of all.  Rows with one code are equal, so it doesn't matter which of them gets which number.
+    """
+    rows = rows.withColumn("part", F.spark_partition_id())
+    by_part = Window.partitionBy("code").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("code", "part").agg(F.count("*").alias("n")).select(
+        "code", "part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("code", "part").orderBy("code"))
+    return (rows.withColumn("nth", nth).join(before, ["code", "part"])
+            .withColumn("occurrence", F.col("before") + F.col("nth")).drop("part", "before", "nth"))
+
+
+def drawn(rows: DataFrame, repeated: DataFrame, p: MixParams, all_told_apart: bool) -> DataFrame:
+    """``rows`` (doc_id, code, others) with their ``draw``: from the id, or where that is missing or repeated from the whole
+    row and its occurrence."""
+    plain = _draw(F.concat(F.lit(f"{p.seed}:"), F.col("doc_id").cast("string")))
+    if all_told_apart:
+        return rows.withColumn("draw", plain)
+    marked = rows.join(repeated, rows["doc_id"] == repeated["again"], "left").withColumn(
+        "unsure", F.col("doc_id").isNull() | F.col("again").isNotNull()).drop("again")
+    own = F.concat_ws(":", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "code", "occurrence")
+    return marked.where("not unsure").withColumn("draw", plain).drop("unsure").unionByName(
+        _numbered(marked.where("unsure")).withColumn("draw", _draw(own)).drop("unsure", "occurrence"))
+
+
+@dataclass(frozen=True)
+class Mix:
+    """What a mix takes of a corpus: ``sized`` (doc_id, source, size, draw) and the plan of its sources."""
+
+    sized: DataFrame
+    plan: DataFrame
+    repeated: DataFrame
+    all_told_apart: bool
+
+
+def planned(docs: DataFrame, p: MixParams = MixParams()) -> Mix:
+    sizes = staged(_packed(docs).drop("row"), "sizes")
+    repeated = staged(_repeated_ids(sizes), "repeated")
+    told_apart = repeated.isEmpty() and sizes.where("doc_id is null").isEmpty()
+    sized = staged(drawn(sizes, repeated, p, told_apart).drop("code"), "sized")
+    return Mix(sized, repetition_plan(sized, p), repeated, told_apart)
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with source and draw) beside its source's plan, and ``copies`` of each."""
     plan = plan.withColumnRenamed("source", "plan_source")
-    return (docs.join(plan, docs["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
+    return (rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
             .withColumn("copies", F.col("whole") + (
                 (F.col("draw") <= F.col("cut")) | (F.col("draw") == F.col("extra"))).cast("long")))
 
@@ -113,10 +165,11 @@ def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The mixed corpus: rows of ``docs`` (doc_id, text, source, any others), each as often as the mix takes it.
 
-    Blank or null texts have size 0 and are taken with their source's whole repetitions.  Rows that repeat an
-    id draw alike.  An empty table gives an empty one.
+    Blank or null texts have size 0 and are taken with their source's whole repetitions.  Rows without id and rows that
+    repeat one draw by all their columns, equal rows one by one.  Columns may have any names.  An empty table gives an
+    empty one.
     """
-    plan = repetition_plan(staged(sized_documents(docs, p), "sized"), p)
-    copied = with_copies(docs.withColumn("draw", draw(F.col("doc_id"), p.seed)), plan).where("copies > 0")
-    return (copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    taken = planned(docs, p)
+    rows = drawn(_packed(docs), taken.repeated, p, taken.all_told_apart)
+    copied = with_copies(rows, taken.plan).where("copies > 0")
+    return copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -12,7 +12,7 @@ from tidemark.llm import (
     decontamination, fingerprint, langid, licenses, linededup, mixing, neardup, oracle, periodic, secrets, spelling,
     tokenfile, warc, wrapper,
 )
-from tidemark.llm.common import read_table, staged
+from tidemark.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,10 +23,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = mixing.MixParams()
-    sized = staged(mixing.sized_documents(read_table(spark, sf_dir, "documents"), p), "sized")
-    taken = mixing.with_copies(sized, mixing.repetition_plan(sized, p))
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    taken = mixing.planned(read_table(spark, sf_dir, "documents"))
+    return mixing.with_copies(taken.sized, taken.plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
