@@ -251,6 +251,74 @@ def test_edited_copies_in_many_texts_are_all_found(spark):
         assert decontamination.decontaminate(docs, bench).count() == 0
 
 
+def test_a_phrase_of_many_texts_and_items_opens_no_pairs(spark):
+    phrase, n = "once upon a time there was", 400
+    own = [" ".join(f"k{i}w{j}" for j in range(14)) for i in range(n)]
+    bench = spark.createDataFrame([(i, f"{phrase} {own[i]}") for i in range(n)], "item_id long, text string")
+    rows = [(i, f"doc {i} begins {phrase} something else {i} and {i + 1} ends") for i in range(n)]
+    edited = own[7].replace("k7w6", "other")
+    rows += [(n, f"x {phrase} {own[5]} y"), (n + 1, f"{phrase} {edited}"), (n + 2, own[9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect())
+    assert got == [(n, 5), (n + 1, 7), (n + 2, 9)]
+    p = decontamination.SeedParams()
+    items = bench.select(decontamination.F.col("item_id").alias("item"), decontamination.F.col("text").alias("item_text"))
+    seeds = decontamination._seeds(items, p)
+    tagged = docs.select("doc_id", decontamination.F.lit(0).cast("long").alias("tag"), "text")
+    passages = decontamination.staged(decontamination._passages(tagged, decontamination._filter_of(seeds, p), p).withColumn(
+        "passage", decontamination.F.monotonically_increasing_id()), "test")
+    assert decontamination.opened_pairs(passages, seeds, p).count() < 50
+    everything = decontamination.SeedParams(all_seeds=True)
+    assert decontamination.opened_pairs(passages, seeds, everything).count() >= n * n
+
+
+def test_parts_of_long_items_and_items_without_id(spark):
+    long = [f"l{k}" for k in range(300)]
+    split, other = [f"s{k}" for k in range(60)], " ".join(f"o{k}" for k in range(100))
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(split)), (None, "a null id does not hide an item of nine words")],
+                                  "item_id long, text string")
+    rows = [(1, "before " + " ".join(long[80:220]) + " behind"), (2, " ".join(split[:29]) + f" {other} " + " ".join(split[31:])),
+            (3, "so: a null id does not hide an item of nine words."), (4, " ".join(long[10:40])), (5, " ".join(split[:20]) + f" {other} " + " ".join(split[:20])),
+            (6, " ".join(split[:14]))]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(
+        spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, None)} and got[3, None] == 1.0
+    assert 0.45 < got[1, 1] < 0.5 and 0.9 < got[2, 2] < 1
+
+
+def test_pairs_against_brute_force_and_recall_of_rare_seeds(spark):
+    rng, p = np.random.default_rng(12), decontamination.SeedParams()
+    stock = [f"v{k}" for k in range(30)]
+    items = {k: list(rng.choice(stock, rng.integers(3, 40))) for k in range(12)}
+    items |= {20 + k: ["which", "of", "these", "towns", "is", "the", "seat", "of", f"land{k}"] for k in range(8)}
+    docs = {}
+    for i in range(120):
+        words = list(rng.choice(stock, rng.integers(0, 150)))
+        if i % 2:
+            copy = [w if rng.random() > 0.05 * (i % 7) else "other" for w in items[list(items)[i % len(items)]]]
+            at = int(rng.integers(0, len(words) + 1))
+            words = words[:at] + copy + words[at:]
+        docs[i] = words
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    want = set()
+    for i, words in docs.items():
+        for k, item in items.items():
+            grams = lambda x: {tuple(x[j:j + min(4, len(item))]) for j in range(len(x) - min(4, len(item)) + 1)}
+            if not grams(words) & grams(item):
+                continue
+            number = {w: n for n, w in enumerate(dict.fromkeys(item))}
+            score = decontamination.align(np.array([number.get(w, -1) for w in words]), np.array([number[w] for w in item]), p)[0]
+            if score >= p.threshold * p.match * len(item):
+                want.add((i, k))
+    found = {}
+    for all_seeds in (True, False):
+        rows = decontamination.contaminated(table, bench, decontamination.SeedParams(all_seeds=all_seeds)).collect()
+        found[all_seeds] = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert want <= found[True] and len(want) > 60
+    assert len(found[False] & found[True]) >= 0.9 * len(found[True]) and found[False] <= found[True]
+
+
 def test_alignment_against_the_plain_recurrence():
     p, rng = decontamination.SeedParams(), np.random.default_rng(5)
     for _ in range(30):
@@ -260,7 +328,10 @@ def test_alignment_against_the_plain_recurrence():
             for j in range(1, 13):
                 s = p.match if a[i - 1] == b[j - 1] else p.mismatch
                 h[i, j] = max(0, h[i - 1, j - 1] + s, h[i - 1, j] + p.gap, h[i, j - 1] + p.gap)
-        assert decontamination.align(a, b, p)[0] == h.max()
+        score, first, last, item_first, item_last = decontamination.align(a, b, p)
+        assert score == h.max()
+        # the parts it names score the same by themselves
+        assert decontamination.align(a[first:last + 1], b[item_first:item_last + 1], p)[0] == score
 
 
 def test_secrets(docs, empty, spark):
