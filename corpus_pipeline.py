@@ -6,7 +6,7 @@ Counted as part of ``tidemark.llm``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, langid, mixing, neardup, tokenfile
@@ -26,14 +26,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; rows without an id stay."""
-    groups = neardup.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_kept"], "left_semi")
-    # rows that repeat an id are one document: the first in the order of text
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.withColumn("_nth", nth).where("_nth = 1")
-    return _same_columns(kept, docs).unionByName(docs.where("doc_id is null"))
+    """The first document of each group of near duplicates, in the order of id (null last), then text.
+
+    Where ids are missing or repeated, rows are told apart by their place in that order, so different texts of one id are
+    different documents and equal rows are copies of each other.
+    """
+    told = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if told["rows"] == told["ids"]:
+        groups = neardup.near_duplicates(docs)
+        first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+        return docs.join(first, docs["doc_id"] == first["_kept"], "left_semi")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()]
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    placed = staged(packed.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .select(F.monotonically_increasing_id().alias("place"), "row"), "placed")
+    groups = neardup.near_duplicates(placed.select(F.col("place").alias("doc_id"), "row.text"))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
+    return placed.join(first, placed["place"] == first["kept"], "left_semi").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
