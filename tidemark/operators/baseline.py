@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import DOY_CYCLE
@@ -13,6 +13,7 @@ from tidemark.operators.daily import SERIES, observed
 from tidemark.settings import Settings
 
 _BITS = 62  # years per bitmap column
+SLOT = [*SERIES, "day_of_year"]
 
 
 def _year_maps(first: int, last: int) -> list[tuple[str, int]]:
@@ -87,8 +88,49 @@ def seasonal_baselines(raw: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     around the turn of the year too.  Sigma is the sample deviation and null when
     the window has no spread; days nothing reaches keep nulls.
     """
+    return baselines_of(day_of_year_stats(raw, cfg), cfg)
+
+
+def state_schema(cfg: Settings) -> T.StructType:
+    """Schema of :func:`day_of_year_stats`."""
+    number, count, bits = T.DoubleType(), T.LongType(), T.LongType()
+    fields = [("entity_id", T.StringType()), ("metric", T.StringType()), ("day_of_year", T.IntegerType()), ("n", count),
+              ("total", number), ("m2", number), ("lo", number), ("hi", number)]
+    fields += [(name, bits) for name, _ in _year_maps(cfg.baseline_start.year, cfg.baseline_end.year)]
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+
+def merged_stats(left: DataFrame, right: DataFrame, cfg: Settings) -> DataFrame:
+    """Moments of the rows behind both frames, each with a slot (series and day-of-year) once at most.
+
+    The squares are pooled about the common mean, so nothing cancels out.
+    """
+    rest = [f for f in state_schema(cfg).fieldNames() if f not in SLOT]
+    sides = []
+    for side, df in (("a", left), ("b", right)):
+        sides.append(df.select(*[F.col(c).alias(f"{side}_{c}") for c in SLOT], F.struct(*rest).alias(side)))
+    same = reduce(and_, [sides[0][f"a_{c}"].eqNullSafe(sides[1][f"b_{c}"]) for c in SLOT])
+    both = sides[0].join(sides[1], same, "full_outer")
+
+    def of(c: str) -> tuple[Column, Column]:
+        return F.col(f"a.{c}"), F.col(f"b.{c}")
+
+    n_a, n_b = (F.coalesce(x, F.lit(0)) for x in of("n"))
+    shift = of("total")[0] / n_a - of("total")[1] / n_b
+    plus = {c: F.coalesce(of(c)[0], F.lit(0)) + F.coalesce(of(c)[1], F.lit(0)) for c in ("n", "total", "m2")}
+    between = F.when((n_a > 0) & (n_b > 0), shift * shift * n_a * n_b / (n_a + n_b)).otherwise(0.0)
+    bits = [c for c in rest if c.startswith("years_")]
+    return both.select(
+        *[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in SLOT],
+        plus["n"].alias("n"), plus["total"].alias("total"), (plus["m2"] + between).alias("m2"),
+        F.least(*of("lo")).alias("lo"), F.greatest(*of("hi")).alias("hi"),
+        *[F.coalesce(of(c)[0], F.lit(0)).bitwiseOR(F.coalesce(of(c)[1], F.lit(0))).alias(c) for c in bits],
+    )
+
+
+def baselines_of(stats: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """The baselines from the moments of :func:`day_of_year_stats`, fresh or stored."""
     half = cfg.half_window
-    stats = day_of_year_stats(raw, cfg)
     names = [name for name, _ in _year_maps(cfg.baseline_start.year, cfg.baseline_end.year)]
     w = Window.partitionBy(*SERIES).orderBy("at").rangeBetween(-half, half)
     part = F.when(F.col("n").isNotNull(), F.struct("n", "total", "m2"))

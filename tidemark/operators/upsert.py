@@ -70,11 +70,11 @@ def upsert(existing: DataFrame, fetched: DataFrame, revisions: bool = False) ->
     revision stays in all its columns, so the outcome doesn't depend on the order in
     which files arrive.
     """
-    return _merged(existing, fetched, revisions, "full_outer").drop("written")
+    return _merged(existing, fetched, revisions, "full_outer").drop("written", "old_value")
 
 
 def upserted_rows(existing: DataFrame, fetched: DataFrame, revisions: bool = False) -> DataFrame:
-    """As :func:`upsert`, but only the fetched rows, with ``written``: whether the stored row changes.
+    """As :func:`upsert`, but only the fetched rows, with ``written``: whether the stored row changes, and ``old_value``.
 
     Existing rows are reduced to the fetched keys before anything is merged.
     """
@@ -124,7 +124,7 @@ def _merged(existing: DataFrame, fetched: DataFrame, revisions: bool, how: str)
         old.join(new, on, how)
         .withColumn("action", action)
         .withColumn("newly_approved", F.coalesce(approved, F.lit(False)))
-        .select(*[resolved(c) for c in names], "action", "newly_approved", written.alias("written"))
+        .select(*[resolved(c) for c in names], "action", "newly_approved", written.alias("written"), F.col("old.value").alias("old_value"))
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import coupling
-from tidemark.operators.baseline import seasonal_baselines
+from tidemark.operators.baseline import seasonal_baselines, state_schema
 from tidemark.operators.daily import daily_entity_metrics, daily_stats, newest_observed
 from tidemark.operators.rollup import category_metrics
 from tidemark.operators.upsert import fetch_window, upsert_counts, upserted_rows
@@ -53,6 +53,19 @@ class Store:
     def rejected_files(self) -> Versioned:
         return Versioned(self.spark, self.path("rejected"))
 
+    def baseline_state(self, cfg: Settings = Settings()) -> DataFrame:
+        """Moments per series and day-of-year; slots that lost all rows are left out."""
+        return self.state_files().read(state_schema(cfg)).filter("n > 0")
+
+    def state_files(self) -> Versioned:
+        return Versioned(self.spark, self.path("baseline_state"), ["metric"])
+
+    def baseline_files(self) -> Versioned:
+        return Versioned(self.spark, self.path("seasonal_baselines"))
+
+    def daily_files(self) -> Versioned:
+        return Versioned(self.spark, self.path("daily_entity_metrics"), sinks.LAYOUT)
+
     def baselines(self) -> DataFrame:
         return layers.read_table(
             self.spark, self.path("seasonal_baselines"), schemas.SEASONAL_BASELINES)
@@ -181,7 +194,8 @@ def _merge(
         rows = store.spark.read.schema(merged.schema).parquet(decided)
         counts = rows.agg(*upsert_counts(), F.count_if("written").alias("written")).first().asDict()
         if counts.pop("written") and not dry_run:
-            rows = rows.filter("written").drop("action", "newly_approved", "written")
+            # the folders of a layer keep what was done to each row, for those who build on the raw rows
+            rows = rows.filter("written").drop("newly_approved", "written")
             files.lay_over(files.write(rows, sinks.save_layer(sinks.RAW_ORDER)), schemas.OBSERVATION_KEY)
         return counts
     finally:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from operator import and_, or_
 from uuid import uuid4
@@ -27,12 +27,20 @@ Load = Callable[[DataFrameReader, list[str]], DataFrame]
 @dataclass
 class Version:
     """``parts``: generation of each partition folder ('' in a frame without partitions).  ``layers``: generations laid
-    over them, oldest first, each with the columns by which its rows replace older ones; without any they only add."""
+    over them, oldest first, each with the columns by which its rows replace older ones; without any they only add.
+    ``whole``: the generation up to which rows lie in the folders alone.  ``notes``: what a job wants to know about the
+    version it wrote, flipped with it."""
 
     last: int = 0
     parts: dict[str, int] = field(default_factory=dict)
     layers: list[tuple[int, list[str]]] = field(default_factory=list)
     retired: list[str] = field(default_factory=list)
+    whole: int = 0
+    notes: dict[str, str | int] = field(default_factory=dict)
+
+
+def _with_gen(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("gen", T.IntegerType())])
 
 
 def _parquet(reader: DataFrameReader, paths: list[str]) -> DataFrame:
@@ -73,7 +81,7 @@ class Versioned:
             data = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Version(data["last"], data["parts"], [(g, k) for g, k in data["layers"]], data["retired"])
+        return Version(**data | {"layers": [(g, k) for g, k in data["layers"]]})
 
     def _flip(self, version: Version, before: Version, retired: list[str]) -> None:
         version.retired = retired
@@ -101,7 +109,7 @@ class Versioned:
     def discard(self, generation: int) -> None:
         self._fs.delete(self._at(f"gen={generation:06d}"), True)
 
-    def replace(self, generation: int, only_touched: bool = False) -> None:
+    def replace(self, generation: int, only_touched: bool = False, **notes: str | int) -> None:
         """Make a written generation the current one, whole or in the partition folders it has."""
         before = self.version() or Version()
         if only_touched and before.layers:
@@ -111,12 +119,30 @@ class Versioned:
         gone = [f"gen={g:06d}/{part}" if part else f"gen={g:06d}" for part, g in before.parts.items()
                 if part in new or not only_touched]
         gone += [f"gen={g:06d}" for g, _ in before.layers]
-        self._flip(Version(generation, {**kept, **new}), before, gone)
+        self._flip(Version(generation, {**kept, **new}, whole=generation, notes=notes), before, gone)
 
-    def lay_over(self, generation: int, key: list[str]) -> None:
+    def lay_over(self, generation: int, key: list[str], **notes: str | int) -> None:
         """Lay a written generation over the others: its rows replace older ones of the same ``key`` (nulls are equal)."""
         before = self.version() or Version()
-        self._flip(Version(generation, before.parts, [*before.layers, (generation, key)]), before, [])
+        layers = [*before.layers, (generation, key)]
+        self._flip(Version(generation, before.parts, layers, whole=before.whole, notes=before.notes | notes), before, [])
+
+    def note(self, **notes: str | int) -> None:
+        before = self.version() or Version()
+        self._flip(replace(before, notes=before.notes | notes), before, [])
+
+    def layers_after(self, generation: int, schema: T.StructType) -> DataFrame | None:
+        """Rows of the layers newer than a generation, with columns that only layers may have, and ``gen``.
+
+        None if the frame has been rewritten since, so that its layers don't tell all that changed.
+        """
+        version = self.version()
+        if version is None or version.whole > generation:
+            return None
+        newer = [(g, key) for g, key in version.layers if g > generation]
+        if not newer:
+            return self.spark.createDataFrame([], _with_gen(schema))
+        return self._layers(replace(version, layers=newer), schema)
 
     def fold(self, schema: T.StructType, save: Save) -> int:
         """Write the partition folders that layers touch anew and drop the layers; returns how many those are."""
@@ -130,7 +156,7 @@ class Versioned:
         new = {part: generation for part in self._folders(generation)}
         gone = [f"gen={g:06d}/{part}" if part else f"gen={g:06d}" for part, g in before.parts.items() if part in new]
         gone += [f"gen={g:06d}" for g, _ in before.layers]
-        self._flip(Version(generation, {**before.parts, **new}), before, gone)
+        self._flip(Version(generation, {**before.parts, **new}, whole=before.last, notes=before.notes), before, gone)
         return len(new)
 
     # -- reading -------------------------------------------------------------
@@ -141,8 +167,7 @@ class Versioned:
 
     def _layers(self, version: Version, schema: T.StructType) -> DataFrame:
         """Rows of all layers, with the number of their generation as ``gen``."""
-        with_gen = T.StructType([*schema.fields, T.StructField("gen", T.IntegerType())])
-        return self._open([self._folder(g) for g, _ in version.layers], with_gen)
+        return self._open([self._folder(g) for g, _ in version.layers], _with_gen(schema))
 
     def read(self, schema: T.StructType, load: Load = _parquet) -> DataFrame:
         """The current rows.  A folder without a pointer is read as it is."""
