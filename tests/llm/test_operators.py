@@ -205,6 +205,25 @@ def test_token_files(docs, empty, spark, tmp_path):
     assert tokenfile.token_output(spark, empty, p).count() == 0
 
 
+def test_token_files_of_a_tokenizer_that_changes_texts(docs, spark, tmp_path):
+    p = tokenfile.TokenFileParams(public_tokenizers.path("word_bpe_49k.json"), length=64, batch=2, file_tokens=5_000)
+    files = tokenfile.write_token_files(docs, f"file://{tmp_path}/t", p)
+    tokenizer = Tokenizer.from_file(p.tokenizer)
+    rows, ids, masks = tokenfile.read_token_files(files).orderBy("start").collect(), [], []
+    want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+            for _, t, *_ in sorted(ROWS, key=lambda r: (r[0] or -1, r[1] or ""))]
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(x.tobytes()) for x in want]
+    for f in files.orderBy("part", "file_no").collect():
+        for k in range(-(-f["n_tokens"] // 64)):
+            x, bits = tokenfile.packed_sequence(f["path"], k, p.batch)
+            y, mask = tokenfile.sequence(f["path"], k, p.batch)
+            assert not x.flags.owndata and not bits.flags.owndata and not bits.flags.writeable
+            assert (x == y).all() and (np.unpackbits(bits, bitorder="little") == mask).all()
+            ids.append(x[mask])
+            masks.append(mask)
+    assert (np.concatenate(ids) == np.concatenate(want)).all() and not np.concatenate(masks).all()
+
+
 def test_words_of_the_encoder_are_the_tokenizers():
     e = tokenfile.CachedEncoder(tokenfile.TokenFileParams(public_tokenizers.path("byte_bpe_50k.json"), cached_words=50))
     texts = ["", " lead", "a  b", "x\n\ny", "a b c", "<|endoftext|> x", "A.\nB, c's 3.5, ...", "tab\tx", "\0z y", "end ",
@@ -426,6 +445,21 @@ def test_warc_filters_and_plain_files(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}", payload=False).where("payload is not null").count() == 0
 
 
+def test_warc_in_folders_below_and_in_none(spark, tmp_path):
+    p = warc.WarcParams()
+    for k, place in enumerate(("", "2024/01", "2024/02")):
+        (tmp_path / place).mkdir(parents=True, exist_ok=True)
+        (tmp_path / place / "part.warc").write_bytes(warc.record_block(k, f"http://h/{k}", b"<p>x</p>" * 50, f"{k:064x}", None, p))
+    (tmp_path / "empty").mkdir()
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert {r["target_uri"] for r in rows} == {f"http://h/{k}" for k in range(3)} and len({r["path"] for r in rows}) == 3
+    assert warc.read_warc(spark, f"file://{tmp_path}/2024").count() == 2
+    assert warc.read_warc(spark, f"file://{tmp_path}/empty", may_be_empty=True).count() == 0
+    for place in ("empty", "nowhere"):
+        with pytest.raises(Exception, match="no archive|no such folder"):
+            warc.read_warc(spark, f"file://{tmp_path}/{place}").count()
+
+
 def test_fingerprints(docs, empty):
     rows = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
     got = fingerprint.next_and_edited(docs).collect()
@@ -443,12 +477,51 @@ def test_fingerprints(docs, empty):
     assert found[7]["near_edited"] > 0.4 and fingerprint.next_and_edited(empty).count() == 0
 
 
+def test_rows_without_id_follow_each_other_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(None, f"{k} " * 9) for k in range(200)] + [(k, f"text {k} " * 5) for k in range(20)], "doc_id long, text string")
+    rows = docs.withColumn("code", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["code"]))
+    want = []
+    for k, r in enumerate(rows):
+        n = len(r["text"]) // 3
+        edited = r["text"][:len(r["text"]) - n] + rows[(k + 1) % len(rows)]["text"][:n]
+        want.append((r["doc_id"], hashlib.sha256(edited.encode()).hexdigest()))
+    got = fingerprint.next_and_edited(docs.repartition(6))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["edited_sha256"])) for r in got.collect())
+    assert fingerprint.with_next(docs.withColumn("code", F.xxhash64("text"))).where("guest").count() < 120
+
+
+def pieces_of(text, most):
+    for run in re.split(r"[\x20\x09-\x0D]+", text):
+        yield from run[:max(0, len(run) - most)]
+        if run:
+            yield run[max(0, len(run) - most):]
+
+
+def test_shifted_text_without_blanks_keeps_its_fingerprints(spark):
+    rng = np.random.default_rng(7)
+    text = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3000, 900))
+    rows = [(1, text), (2, "中" + text), (3, text[100:400] + "x" * 30 + text[400:]), (4, "a b " + text[200:213] + " c"), (5, text[::-1])]
+    got = by_id(fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    marks = {k: {x.split("@")[0] for x in r["fingerprint"].split(",")} for k, r in got.items()}
+    assert len(marks[1] & marks[2]) >= 0.95 * len(marks[1]) and len(marks[1] & marks[3]) >= 0.8 * len(marks[3] | marks[1]) - 40
+    assert not marks[1] & marks[5] and all(got[k]["fingerprint"] == brute_winnow(t) for k, t in rows)
+    # any passage as long as the guarantee says leaves a mark
+    p = fingerprint.WinnowParams()
+    long = p.window + p.gram - 1
+    for at in range(0, 800, 37):
+        passage = " ".join(text[at:at + long])  # one-letter words are the same pieces
+        assert {x.split("@")[0] for x in brute_winnow("q q " + passage + " z z").split(",")} & marks[1]
+
+
 def brute_winnow(text, p=fingerprint.WinnowParams()):
     import xxhash
 
     prime = 2**31 - 1
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    h = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) % prime for w in re.findall(rf"[^\x20\x09-\x0D]{{1,{p.piece}}}", text)]
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) % prime for w in pieces_of(text, p.piece)]
     if not h:
         return ""
     k = min(p.gram, len(h))

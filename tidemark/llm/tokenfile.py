@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import sys
@@ -43,12 +44,21 @@ class TokenFileParams:
     cached_words: int = 900_000
 
 
+def _splits_at_blanks(tokenizer) -> bool:
+    """Whether this is plain byte-level BPE, which takes words one by one and changes nothing of a text beforehand."""
+    spec = json.loads(tokenizer.to_str())
+    model, first = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return (model["type"] == "BPE" and plain and spec["normalizer"] is None and first.get("type") == "ByteLevel"
+            and first.get("use_regex") is True and first.get("add_prefix_space") is False)
+
+
 class CachedEncoder:
     """Byte-level BPE of whole texts, one word at a time.
 
     The tokenizer never merges across the blank or newline between two words, so the ids of a text are those of its
     words, each with what stands before it.  Texts with other or doubled white space, with white space at
-    an end, with NUL or with a special token go to the tokenizer whole.
+    an end, with NUL or with a special token go to the tokenizer whole.  So do all texts where the tokenizer works otherwise.
     """
 
     def __init__(self, p: TokenFileParams):
@@ -56,9 +66,10 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(p.tokenizer)
+        self.by_word = _splits_at_blanks(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self._ids("\n")
-        self.points = {c: self._ids(c) for c in ".,"}
+        self.newline = self._ids("\n") if self.by_word else b""
+        self.points = {c: self._ids(c) for c in ".,"} if self.by_word else {}
         self.known: dict[str, bytes] = {}
         self.limit = p.cached_words
 
@@ -104,6 +115,9 @@ class CachedEncoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(x.ids, "<u4").tobytes() for x in found]
         out: list = [None] * len(texts)
         parted, missing = {}, set()
         for k, text in enumerate(texts):
@@ -240,7 +254,8 @@ def write_token_files(docs: DataFrame, folder: str, p: TokenFileParams) -> DataF
             yield done(writer)
 
     pa.fs.FileSystem.from_uri(folder)[0].create_dir(pa.fs.FileSystem.from_uri(folder)[1], recursive=True)
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
+    # the start of the text only decides where rows of one id or without id part
+    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInPandas(run, _FILES), "token-files")
 
 
@@ -296,12 +311,25 @@ def _documents(path: str, index_path: str, file_start: int) -> Iterator[pd.DataF
 
 
 def sequence(uri: str, number: int, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence of a file, without reading or copying the others."""
+    """Ids and mask of one sequence of a file, without reading or copying the others.  The mask is unpacked."""
+    ids, bits = packed_sequence(uri, number, batch)
+    return ids, np.unpackbits(bits, bitorder="little")[:len(ids)].astype(bool)
+
+
+def packed_sequence(uri: str, number: int, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of one sequence and its mask, eight bits a byte, lowest first; both are views of the file's memory.
+
+    The length of sequences must be a multiple of eight.
+    """
     part = _open(uri).get_batch(number // batch)
     length = part.schema.field("ids").type.list_size
+    if length % 8:
+        raise ValueError(f"masks of {length} bits don't start at whole bytes")
     at = number % batch * length
-    ids, mask = (part.column(c).flatten()[at:at + length] for c in ("ids", "mask"))
-    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+    ids, mask = (part.column(c).flatten() for c in ("ids", "mask"))
+    first = (mask.offset + at) // 8
+    bits = np.frombuffer(mask.buffers()[1], np.uint8)[first:first + length // 8]
+    return ids[at:at + length].to_numpy(zero_copy_only=True), bits
 
 
 def token_output(spark: SparkSession, docs: DataFrame, p: TokenFileParams) -> DataFrame:

@@ -202,6 +202,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.split = int(options.get("splitbytes", options.get("splitBytes", 128 << 20)))
+        self.may_be_empty = options.get("mayBeEmpty", options.get("maybeempty", "false")).lower() == "true"
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters):
@@ -214,19 +215,23 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        """Files of the folder, small ones together up to ``splitBytes``."""
+        """Files of the folder and of those below it, small ones together up to ``splitBytes``."""
         fs, root = pa.fs.FileSystem.from_uri(self.path)
         info = fs.get_file_info(root)
         if info.type == pa.fs.FileType.File:
             return [_Files([self.path])]
-        found = sorted((f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(root))
-                       if f.path.endswith((".warc", ".warc.gz")))
+        if info.type == pa.fs.FileType.NotFound:
+            raise FileNotFoundError(f"no such folder: {self.path}")
+        found = sorted((f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(root, recursive=True))
+                       if f.type == pa.fs.FileType.File and f.path.endswith((".warc", ".warc.gz")))
+        if not found and not self.may_be_empty:
+            raise FileNotFoundError(f"no archive (*.warc, *.warc.gz) in {self.path}")
         groups, size = [], self.split
         for path, n in found:
             if size + n > self.split:
                 groups.append([])
                 size = 0
-            groups[-1].append(f"{self.path.rstrip('/')}/{path.rsplit('/', 1)[1]}")
+            groups[-1].append(f"{self.path.rstrip('/')}/{path[len(root.rstrip('/')) + 1:]}")
             size += n
         return [_Files(g) for g in groups] or [_Files([])]
 
@@ -286,11 +291,16 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
 
-def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """Records of all archives in a folder, plain or gzip, one row each; filters on header columns are pushed down."""
+def read_warc(spark: SparkSession, folder: str, payload: bool = True, may_be_empty: bool = False) -> DataFrame:
+    """Records of all archives in a folder and below, plain or gzip, one row each; filters on header columns are pushed down.
+
+    A folder without any archive is an error unless it ``may_be_empty``.  Filters reach the source only with a
+    setting of the session, ``spark.sql.python.filterPushdown.enabled``, which is switched on here and stays on.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(folder)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option(
+        "mayBeEmpty", str(may_be_empty).lower()).load(folder)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, p: WarcParams = WarcParams()) -> DataFrame:
@@ -302,10 +312,10 @@ def round_trip(spark: SparkSession, pages: DataFrame, p: WarcParams = WarcParams
     files = write_warc(pages, folder, p).select("path")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
     id_of = lambda c: F.when(number(c) != "", number(c)).cast("long")
-    responses = read_warc(spark, folder).where("record_type = 'response'").select(
+    responses = read_warc(spark, folder, may_be_empty=True).where("record_type = 'response'").select(
         "path", id_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisits = read_warc(spark, folder, payload=False).where("record_type = 'revisit'").select(
+    revisits = read_warc(spark, folder, payload=False, may_be_empty=True).where("record_type = 'revisit'").select(
         "path", id_of("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
         "payload_digest", "record_type", id_of("refers_to").alias("refers_to"))
     return responses.union(revisits).join(files, "path", "left_semi").drop("path")
