@@ -234,3 +234,20 @@ def test_tier_changes_and_order(spark, locations):
     ranked = plans.tight_gauges(new, geo, locations).collect()
     assert [(r.entity_id, r.station_name) for r in ranked] == [("b", None), ("c", "Sea")]
     assert plans.all_gauges(new, geo).count() == 2
+
+
+def test_salts_follow_the_size_of_a_location(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"e{k}", "hot" if k < 900 else f"l{k % 20}" if k < 990 else None) for k in range(1000)]
+    locations = spark.createDataFrame(rows, "entity_id string, eia_location string")
+    monthly = spark.createDataFrame([(where, f"2020-{m:02d}", float(m)) for where in ["hot", *[f"l{k}" for k in range(20)], "none", None]
+                                     for m in range(1, 13)], "location string, period string, v double")
+    salts = {r[0]: r[1] for r in coupling.location_salts(locations, 64).collect()}
+    assert salts.pop("hot") == 15 and set(salts.values()) == {1} and None not in salts
+    got = coupling.for_each_entity(monthly, locations, 64)
+    assert got.columns == ["entity_id", "period", "v"] and got.count() == 990 * 12 == got.distinct().count()
+    # no salt of the hot location holds more than twice the usual number of its entities
+    spread = locations.filter("eia_location = 'hot'").groupBy(F.pmod(F.xxhash64("entity_id"), F.lit(15))).count()
+    sizes = sorted(r[1] for r in spread.collect())
+    assert len(sizes) == 15 and sizes[-1] <= 2 * sizes[7]

@@ -11,6 +11,7 @@ from tidemark import Settings, schemas
 from tidemark.operators.baseline import baselines_of, day_of_year_stats, merged_stats, seasonal_baselines
 from tidemark.operators.daily import daily_entity_metrics, daily_stats, newest_observed
 from tidemark.plans import refresh
+from tidemark.plans.quality import health_report, raw_profile, report_of
 from tidemark.plans.build import Store, compact_raw, sync_rows
 
 CFG = Settings(baseline_start=date(2019, 1, 1), baseline_end=date(2022, 12, 31))
@@ -64,6 +65,7 @@ def test_three_upserts_equal_a_rebuild(store):
         {("e1", None, date(2022, 1, 1)): 2.0, ("e1", "flow", None): 2.0},
     ]
     touched = [1, 1, 3, 1]
+    refresh.refresh_profile(store)
     for k, (step, n) in enumerate(zip(steps, touched, strict=True)):
         sync(store, step)
         if k == 1:
@@ -71,12 +73,20 @@ def test_three_upserts_equal_a_rebuild(store):
         before = bytes_below(store.path("daily_entity_metrics"))
         assert refresh.refresh(store, CFG)["series"] == n
         agrees(store)
+        if k != 1:
+            refresh.refresh_profile(store)
+            same(store.profile(), raw_profile(store.raw()), ["entity_id", "metric"])
         if k < 2:
             assert bytes_below(store.path("daily_entity_metrics")) - before < whole / 4
         if k == 2:
             refresh.compact(store, CFG)
             compact_raw(store)
             agrees(store)
+    refresh.refresh_profile(store)
+    known = store.raw().select("entity_id").distinct().filter("entity_id is not null")
+    rest = (store.daily(), store.daily().limit(0), known.union(known.limit(1).selectExpr("'lacking'")), date(2023, 9, 20), CFG)
+    whole, stored = (sorted(map(str, r.collect())) for r in (health_report(store.raw(), *rest), report_of(store.profile(), *rest)))
+    assert whole == stored and any("lacking" in x for x in whole)
     assert refresh.refresh(store, CFG) == {"series": 0, "slots": 0}
     assert refresh.refresh(store, CFG, date(2024, 2, 2)) == {"series": 0, "slots": 0}
     agrees(store, date(2024, 2, 2))

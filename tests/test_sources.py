@@ -127,3 +127,27 @@ def test_repeated_station_is_kept_once(spark):
         + [(None, {"monitoring_location_name": "none"}, None)], schemas.STATION_FEATURE)
     got = landed.station_rows(rows).collect()
     assert [(r.entity_id, r.station_name) for r in got] == [("E-1", "y")]
+
+
+def test_one_entity_among_many_skips_row_groups(spark, tmp_path):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import layers, sinks
+
+    rows = spark.range(4000).select(
+        F.format_string("e%05d", F.col("id") * 2).alias("entity_id"), F.lit("m").alias("metric"),
+        F.lit(date(2020, 1, 1)).alias("observed_at"), F.lit(2020).alias("year"))
+
+    def scanned(path, entity):
+        df = layers.read_layer(spark, path, rows.schema).filter((F.col("year") == 2020) & (F.col("entity_id") == entity))
+        found = len(df.collect())
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return found, leaf.metrics().apply("numOutputRows").value()
+
+    sinks.write_daily(rows, str(tmp_path / "daily"))
+    # inside the bounds of the file, but in none of its rows
+    assert scanned(str(tmp_path / "daily"), "e00101") == (0, 0)
+    found, read = scanned(str(tmp_path / "daily"), "e00100")
+    assert found == 1 and read >= 1

@@ -11,7 +11,7 @@ from tidemark.functions.calendar import doy_month, month_start, period, period_m
 from tidemark.settings import Settings
 
 PAIR = ["entity_id", "period"]
-LOCATION_SALTS = 16
+ENTITIES_PER_SALT = 4096
 
 
 def flow_monthly(
@@ -26,19 +26,26 @@ def flow_monthly(
     )
 
 
-def for_each_entity(monthly: DataFrame, locations: DataFrame) -> DataFrame:
+def location_salts(locations: DataFrame, entities_per_salt: int = ENTITIES_PER_SALT) -> DataFrame:
+    """(location, _salts): over how many salts each location's entities are spread; 1 for all but large ones."""
+    return locations.filter(F.col("eia_location").isNotNull()).groupBy(F.col("eia_location").alias("location")).agg(
+        F.ceil(F.count("*") / entities_per_salt).cast("int").alias("_salts"))
+
+
+def for_each_entity(
+    monthly: DataFrame, locations: DataFrame, entities_per_salt: int = ENTITIES_PER_SALT
+) -> DataFrame:
     """Monthly rows of a ``location`` repeated for each entity mapped to it.
 
-    One location may carry most entities, so its entities are spread over salts and
-    its few months repeated for each.
+    One location may carry most entities, so its entities are spread over as many salts as their number asks for,
+    and its few months repeated for each; the months of a small location stay single.
     """
-    salt = F.pmod(F.xxhash64("entity_id"), F.lit(LOCATION_SALTS)).cast("int")
-    mapped = locations.select(
-        "entity_id", F.col("eia_location").alias("location"), salt.alias("_salt")
-    )
-    salts = F.sequence(F.lit(0), F.lit(LOCATION_SALTS - 1))
+    salts = location_salts(locations, entities_per_salt)
+    mapped = locations.select("entity_id", F.col("eia_location").alias("location")).join(salts, "location").select(
+        "entity_id", "location", F.pmod(F.xxhash64("entity_id"), F.col("_salts")).cast("int").alias("_salt"))
     return (
-        monthly.withColumn("_salt", F.explode(salts))
+        monthly.join(salts, "location")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
         .join(mapped, ["location", "_salt"])
         .select("entity_id", *[c for c in monthly.columns if c != "location"])
     )

@@ -53,6 +53,15 @@ class Store:
     def rejected_files(self) -> Versioned:
         return Versioned(self.spark, self.path("rejected"))
 
+    def profile(self) -> DataFrame:
+        """The stored profile of the raw rows, see :func:`tidemark.plans.refresh.refresh_profile`."""
+        rows = self.profile_files().read(schemas.RAW_PROFILE)
+        return rows.groupBy("entity_id", "metric").agg(
+            *[F.sum(c).alias(c) for c in ("n", "no_date", "no_value")], F.max("newest").alias("newest"))
+
+    def profile_files(self) -> Versioned:
+        return Versioned(self.spark, self.path("raw_profile"))
+
     def baseline_state(self, cfg: Settings = Settings()) -> DataFrame:
         """Moments per series and day-of-year; slots that lost all rows are left out."""
         return self.state_files().read(state_schema(cfg)).filter("n > 0")

@@ -92,11 +92,18 @@ def health_report(
     cfg: Settings = Settings(),
 ) -> DataFrame:
     """All checks.  Runs a job: the raw layer is read once, into a profile."""
-    profile = held(raw_profile(raw))
+    return report_of(held(raw_profile(raw)), daily, category, stations, today, cfg)
+
+
+def report_of(
+    profile: DataFrame, daily: DataFrame, category: DataFrame, stations: DataFrame, today: date,
+    cfg: Settings = Settings(),
+) -> DataFrame:
+    """All checks from the profile of the raw rows, fresh or stored; no raw row is read."""
     parts = [
         row_counts({"daily_entity_metrics": daily, "daily_category_metrics": category}),
         raw_checks(profile, today, cfg),
-        missing_members(profile, expected_metrics(raw.sparkSession, cfg), "metric"),
+        missing_members(profile, expected_metrics(profile.sparkSession, cfg), "metric"),
         missing_members(profile, stations, "entity_id", soft=True),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -14,6 +14,7 @@ from tidemark.functions import scores
 from tidemark.operators.baseline import SLOT, baselines_of, day_of_year_stats, merged_stats, state_schema
 from tidemark.operators.daily import SERIES, daily_entity_metrics, daily_stats, newest_observed, observed
 from tidemark.plans.build import Store
+from tidemark.plans.quality import raw_profile
 from tidemark.settings import Settings
 from tidemark.sources import layers, sinks
 
@@ -152,3 +153,24 @@ def compact(store: Store, cfg: Settings = Settings()) -> None:
     store.baseline_files().fold(schemas.SEASONAL_BASELINES, _save_baselines)
     schema = layers.with_partitions(schemas.DAILY_ENTITY_METRICS, sinks.LAYOUT)
     store.daily_files().fold(schema, _save_daily)
+
+
+def refresh_profile(store: Store) -> None:
+    """Keep the profile that the checks start from up to the raw rows.
+
+    What a batch changed is added as a few rows per series, never more than the batch has; the first time, or after the
+    raw rows were rewritten, all of them are read once.
+    """
+    files, raw = store.profile_files(), store.raw_files()
+    seen, version = raw.version().last, files.version()
+    changes = raw.layers_after(version.notes["raw"], _CHANGED) if version else None
+    save = sinks.save_table(["entity_id", "metric"])
+    if changes is None:
+        files.replace(files.write(raw_profile(store.raw()), save), raw=seen)
+    elif version.notes["raw"] < seen:
+        new = F.col("action") == "new"
+        was_missing = F.when(new, 0).otherwise(F.col("old_value").isNull().cast("int"))
+        added = changes.groupBy(*SERIES).agg(
+            F.count_if(new).alias("n"), F.count_if(new & F.col("observed_at").isNull()).alias("no_date"),
+            F.sum(F.col("value").isNull().cast("int") - was_missing).alias("no_value"), F.max("observed_at").alias("newest"))
+        files.lay_over(files.write(added, save), [], raw=seen)

@@ -61,6 +61,11 @@ CORRELATION_FINAL = _struct(
     tier=S, decoupled=B, significant=B,
 )
 
+# What the checks need to know of the raw rows, per series.
+RAW_PROFILE = _struct(
+    entity_id=S, metric=S, n=T.LongType(), no_date=T.LongType(), no_value=T.LongType(), newest=T.DateType(),
+)
+
 # What a load of pages left out.
 REJECTED = _struct(batch_id=T.LongType(), path=S, reason=S, content=S)
 

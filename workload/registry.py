@@ -64,7 +64,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("b02_daily_entity_metrics", DAILY, "SELECT * FROM daily")
 def _(t: Tables) -> DataFrame:
-    return daily.daily_entity_metrics(t.daily_stats(), baseline.seasonal_baselines(t.raw(), CFG))
+    return daily.daily_entity_metrics(
+        t.daily_stats(), baseline.seasonal_baselines(t.raw(), CFG), daily.newest_observed(t.raw()))
 
 
 @query("b02_stored_daily_layer", DAILY, "SELECT * FROM daily")
@@ -1010,6 +1011,16 @@ def _(t: Tables) -> DataFrame:
         t.raw(), t.daily(), t.category(), t.stations(), TODAY, CFG)
 
 
+@query("d02_stored_profile", "entity_id s, metric s, n i, no_date i, no_value i, newest t", """
+SELECT entity_id, parameter_code AS metric, count(*) AS n, 0 AS no_date,
+       count(*) FILTER (WHERE value IS NULL) AS no_value, max(observed_at) AS newest
+FROM upserted GROUP BY 1, 2
+""")
+def _(t: Tables) -> DataFrame:
+    """What the checks start from, kept up to date by the upserts instead of read from all rows."""
+    return t.raw_layer().profile()
+
+
 @query("st1_upsert_stream", OBS, """
 SELECT * REPLACE (strftime(collected_at, '%Y-%m-%d %H:%M:%S') AS collected_at) FROM events_raw
 QUALIFY row_number() OVER (PARTITION BY entity_id, parameter_code, observed_at

@@ -24,7 +24,7 @@ from tidemark import Settings, schemas
 from tidemark.operators import coupling
 from tidemark.operators.daily import daily_stats
 from tidemark.operators.upsert import latest_wins, unique_observations
-from tidemark.plans import build
+from tidemark.plans import build, refresh
 from tidemark.session import shared_dir
 from tidemark.sources import landed, layers, sinks
 
@@ -315,7 +315,9 @@ class Tables:
             empty = self.spark.createDataFrame([], schemas.RAW_OBSERVATIONS)
             sinks.write_raw(
                 latest_wins(empty, self.snapshot()), self.store.path("raw_observations"))
+            refresh.refresh_profile(self.store)
             build.sync_rows(self.store, unique_observations(self.refetched()))
+            refresh.refresh_profile(self.store)
 
         self._once("raw_layer", job)
         return self.store
