@@ -561,3 +561,45 @@ def test_every_alternative_of_a_license_rule_passes_its_gate(spark):
              "unauthorized use is strictly prohibited": ("proprietary", 0.8), "a subject and a licence": ("", 0.0)}
     found = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert {t: (found[k]["labels"], found[k]["score"]) for k, t in enumerate(texts)} == texts
+
+
+def test_language_codes_against_plain_counting_and_decoding(spark):
+    import collections
+    import math
+
+    rng = np.random.default_rng(3)
+    stock = {"en": "the and of house river with small", "de": "und der das haus fluss mit klein", "fr": "le et maison avec été où",
+             "es": "el y casa con río niño", "it": "il e casa con fiume gli", "nl": "het en huis met rivier klein"}
+    rows = [(k, " ".join(rng.choice(words.split(), 30)), lang) for lang, words in stock.items() for k in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    asked = [(k, " ".join(rng.choice(" ".join(stock.values()).split(), rng.integers(1, 12)))) for k in range(60)]
+    got = by_id(langid.identify(spark.createDataFrame(asked, "doc_id long, text string"), model))
+
+    def grams(text):
+        raw = f" {text.lower()} ".encode()
+        pairs = [a << 8 | b for a, b in zip(raw, raw[1:])]
+        triples = [a << 16 | b << 8 | c for a, b, c in zip(raw, raw[1:], raw[2:])]
+        return pairs + [((x * 2654435761) % 2**32 >> 16) + 65536 for x in triples]
+
+    counts = {lang: collections.Counter() for lang in sorted(stock)}
+    for _, text, lang in rows:
+        counts[lang].update(grams(text))
+    share = {lang: (c, sum(c.values()) + 0.5 * 131072) for lang, c in counts.items()}
+    codes = langid.code_matrix(6, 11)
+    of = lambda lang, g: (share[lang][0][g] + 0.5) / share[lang][1]
+    langs, trust, seen = sorted(stock), [], sorted(set().union(*counts.values()))
+
+    def odds(bit, g):
+        sides = [[of(lang, g) for j, lang in enumerate(langs) if codes[j, bit] == s] for s in (1, -1)]
+        return np.mean(sides[0]), np.mean(sides[1])
+
+    for bit in range(codes.shape[1]):
+        unseen = odds(bit, -1)
+        total = (131072 - len(seen)) * (unseen[0] - unseen[1]) * math.log(unseen[0] / unseen[1])
+        trust.append(total + sum((a - b) * math.log(a / b) for a, b in (odds(bit, g) for g in seen)))
+    for i, text in asked:
+        margins = [sum(math.log(a / b) for a, b in (odds(bit, g) for g in grams(text))) for bit in range(codes.shape[1])]
+        loss = sorted((sum(t * math.log1p(math.exp(-codes[j, k] * m)) for k, (m, t) in enumerate(zip(margins, trust, strict=True)))
+                       / sum(trust), lang) for j, lang in enumerate(langs))
+        assert got[i]["lang_pred"] == loss[0][1] and abs(got[i]["score"] - (1 - loss[0][0] / loss[1][0])) < 1e-4
+        assert got[i]["ambiguous"] == (got[i]["score"] < 0.05)
