@@ -82,14 +82,26 @@ def entities_at(locations: DataFrame, wanted: list[str] | None = None) -> DataFr
     return locations.select("entity_id")
 
 
-def extend_generation(base: DataFrame, extension: DataFrame, targets: DataFrame) -> DataFrame:
+def newest_month(monthly: DataFrame, locations: DataFrame) -> Column:
+    """Newest month with a value at a location that has entities, as a scalar subquery: that of the base, without its rows."""
+    known = locations.filter(F.col("entity_id").isNotNull()).select(F.col("eia_location").alias("location")).distinct()
+    return (
+        monthly.filter(F.col("generation_thousand_mwh").isNotNull()).join(known, "location", "left_semi")
+        .agg(F.max("period")).scalar()
+    )
+
+
+def extend_generation(
+    base: DataFrame, extension: DataFrame, targets: DataFrame, last: Column | None = None
+) -> DataFrame:
     """Append the extension's later months to each target entity.
 
     Only months after the newest one anywhere in ``base`` are appended, so a month the
-    base already has is kept.  The appended months are one bounded list (twelve
-    a year), attached as a scalar and exploded.
+    base already has is kept.  ``last`` is that month; without it the base is planned a second time for it.  The
+    appended months are one bounded list (twelve a year), attached as a scalar and exploded.
     """
-    last = base.agg(F.max("period")).scalar()
+    if last is None:
+        last = base.agg(F.max("period")).scalar()
     months = (
         extension.filter(F.col("period") > last)
         .agg(F.collect_list(F.struct("period", "generation_thousand_mwh")))

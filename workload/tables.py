@@ -239,6 +239,7 @@ class Tables:
         return coupling.extend_generation(
             self.generation_base(), self.monthly_extension(),
             coupling.entities_at(self.locations(), FOOTPRINT),
+            coupling.newest_month(self.monthly(), self.locations()),
         )
 
     # -- stored layers -----------------------------------------------------
