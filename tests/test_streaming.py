@@ -1,8 +1,10 @@
 import json
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from tidemark import schemas
-from tidemark.operators.upsert import latest_wins
+from tidemark.operators.upsert import latest_wins, newest_revisions
 from tidemark.plans.build import Store
 from tidemark.streaming.landing import landed_observations, landed_pages, upsert_page_stream, upsert_stream
 
@@ -84,3 +86,73 @@ def test_a_bad_page_is_put_aside_and_the_others_land(spark, tmp_path):
                         ("nobody.json", "no parameter"), ("other.json", "no features"), ("undated.json", "no date"),
                         ("undated.json", "no date")]
     assert [r.content for r in store.rejected().filter("reason = 'malformed page' and path like '%cut%'").collect()] == [pages["cut"]]
+
+
+def test_pages_of_many_batches_against_plain_computation(spark, tmp_path, monkeypatch):
+    def kept_in_memory(*_):
+        raise AssertionError("pages of a batch must not fill the memory that its sorts need")
+
+    monkeypatch.setattr(type(spark.range(0)), "persist", kept_in_memory)
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    good, bad = {}, []
+    for k in range(5):
+        lines = []
+        for i in range(40):
+            p = {"monitoring_location_id": f"e{i % 7}", "time": f"2024-01-{1 + (i + k) % 5:02d}", "parameter_code": "00060", "value": str(k * i % 13)}
+            lacks = {11: "monitoring_location_id", 12: "parameter_code", 13: "time"}.get(i)
+            p.pop(lacks, None)
+            text = json.dumps(p, separators=(",", ":"))
+            page = '{"features":[{"properties":' + text + ',"geometry":null}]}'
+            if lacks:
+                bad.append(({"monitoring_location_id": "no entity", "parameter_code": "no parameter", "time": "no date"}[lacks], text))
+            elif i == 14:
+                page = page[:30]  # the same in every file, and each time a reject
+                bad.append(("malformed page", page))
+            else:
+                key = (p["monitoring_location_id"], p["time"])
+                good[key] = max(good.get(key, ""), text)
+            lines.append(page)
+        lines += ['{"features":[]}', '{"features":[null]}', '{"features":null}']
+        bad += [("no entity", None), ("no features", '{"features":null}')]
+        (landing / f"{k}.json").write_text("\n".join(lines) + "\n")
+    store = Store(spark, str(tmp_path / "store"))
+    stream = landed_pages(spark, str(landing), files_per_batch=1, page_per_line=True)
+    seen = F.lit("2024-02-01").cast("timestamp")
+    upsert_page_stream(stream, store, str(tmp_path / "progress"), compact_after=3, collected_at=seen).awaitTermination()
+    rows = store.raw().collect()
+    assert {(r.entity_id, r.observed_at.isoformat()): r.raw_payload for r in rows} == good and len(rows) == len(good)
+    assert all(r.value == float(json.loads(r.raw_payload)["value"]) for r in rows)
+    rejected = store.rejected().collect()
+    assert sorted(map(repr, ((r.reason, r.content) for r in rejected))) == sorted(map(repr, bad))
+    assert {r.batch_id for r in rejected} == set(range(5)) and all(r.path.endswith(".json") for r in rejected)
+
+
+def nodes(plan):
+    found = [plan]
+    for i in range(plan.children().size()):
+        found += nodes(plan.children().apply(i))
+    return found
+
+
+def test_a_revision_is_sorted_and_shuffled_with_its_payload_once(spark):
+    rows = newest_revisions(spark.createDataFrame([], schemas.RAW_OBSERVATIONS))
+    sums = [n for n in nodes(rows._jdf.queryExecution().sparkPlan()) if "Aggregate" in n.nodeName()]
+    assert len(sums) == 2 and all(n.schema().json().count('"raw_payload"') == 1 for n in sums)
+
+
+def test_rows_of_the_newest_layer_meet_no_keys(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+
+    def land(value, seen, days):
+        landing = str(tmp_path / "landing")
+        spark.createDataFrame(rows(value, seen, days), schemas.RAW_OBSERVATIONS).coalesce(1).write.mode("append").parquet(landing)
+        upsert_stream(landed_observations(spark, landing), store, str(tmp_path / "progress")).awaitTermination()
+        return store.raw()
+
+    only = land(1.0, datetime(2024, 2, 1), range(1, 6))
+    assert not [n for n in nodes(only._jdf.queryExecution().sparkPlan()) if "Join" in n.nodeName()]
+    land(2.0, datetime(2024, 2, 2), range(4, 9))
+    three = land(0.5, datetime(2024, 2, 3), range(8, 10))
+    assert {r.observed_at.day: r.value for r in three.collect()} == {1: 1.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: 2.0, 6: 2.0, 7: 2.0, 8: 0.5, 9: 0.5}
+    assert three.count() == 9 and len(store.raw_files().version().layers) == 3

@@ -34,9 +34,18 @@ def one_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
 REVISION = ["collected_at", "raw_payload", "value"]
 
 
-def newest_revisions(df: DataFrame) -> DataFrame:
-    """One row per observation key; the newest ``collected_at`` is kept."""
-    return one_per_key(df, OBSERVATION_KEY, F.struct(*REVISION))
+def newest_revisions(df: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+    """One row per observation key, and per value of the columns ``apart``; the newest ``collected_at`` is kept.
+
+    The greatest row that begins with what orders the revisions, so that a payload is sorted and shuffled once
+    and not a second time as its own order.
+    """
+    key = [*OBSERVATION_KEY, *apart]
+    row = F.struct(*REVISION, *[c for c in df.columns if c not in key and c not in REVISION])
+    return (
+        df.groupBy(*key).agg(F.max(row).alias("_row"))
+        .select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    )
 
 
 def unique_observations(df: DataFrame) -> DataFrame:
@@ -82,6 +91,24 @@ def upserted_rows(existing: DataFrame, fetched: DataFrame, revisions: bool = Fal
     return _merged(existing.join(keys, same_key(existing, keys), "left_semi"), fetched, revisions, "right_outer")
 
 
+def newer_revisions(existing: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The rows that :func:`upserted_rows` with ``revisions`` marks as written, with their ``action`` and ``old_value``.
+
+    Those are the fetched ones as they are, so of the existing rows only the compared columns meet them.
+    """
+    old = {c: f"_old_{c}" for c in dict.fromkeys([*OBSERVATION_KEY, *REVISION, *COMPARED])}
+    seen = schemas.conform(existing, schemas.RAW_OBSERVATIONS).select(
+        *[F.col(c).alias(name) for c, name in old.items()], F.lit(True).alias("_old"))
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(old[c])) for c in OBSERVATION_KEY])
+    newer = F.struct(*REVISION) > F.struct(*[old[c] for c in REVISION])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(old[c])) for c in COMPARED])
+    action = F.when(F.col("_old").isNull(), "new").when(same, "unchanged").otherwise("updated")
+    return (
+        fetched.join(seen, on, "left").filter(F.col("_old").isNull() | newer)
+        .select(*fetched.columns, action.alias("action"), F.col(old["value"]).alias("old_value"))
+    )
+
+
 def _merged(existing: DataFrame, fetched: DataFrame, revisions: bool, how: str) -> DataFrame:
     names = schemas.columns(schemas.RAW_OBSERVATIONS)
     old = schemas.conform(existing, schemas.RAW_OBSERVATIONS).select(

@@ -14,7 +14,7 @@ from tidemark.operators import coupling
 from tidemark.operators.baseline import seasonal_baselines, state_schema
 from tidemark.operators.daily import daily_entity_metrics, daily_stats, newest_observed
 from tidemark.operators.rollup import category_metrics
-from tidemark.operators.upsert import fetch_window, upsert_counts, upserted_rows
+from tidemark.operators.upsert import fetch_window, newer_revisions, upsert_counts, upserted_rows
 from tidemark.session import remove, shared_dir
 from tidemark.settings import Settings
 from tidemark.sources import layers, sinks
@@ -177,6 +177,25 @@ def sync_rows(store: Store, fetched: DataFrame, revisions: bool = False) -> dict
     return _merge(store, fetched, dry_run=False, revisions=revisions)
 
 
+def sync_revisions(store: Store, rows: DataFrame) -> None:
+    """As :func:`sync_rows` with ``revisions``, for unique rows that are read from files and when nobody asks for the counts.
+
+    The changed rows go straight into their layer.
+    """
+    files = store.ensure_raw().raw_files()
+    batch = schemas.conform(rows, schemas.RAW_OBSERVATIONS).withColumn("year", F.year("observed_at"))
+    version = files.version()
+    if version.parts or version.layers:
+        written = newer_revisions(store.raw().filter(touching(batch, sinks.LAYOUT)), batch)
+    else:
+        written = batch.select("*", F.lit("new").alias("action"), F.lit(None).cast("double").alias("old_value"))
+    generation = files.write(written, sinks.save_layer(sinks.RAW_ORDER))
+    if files.holds_rows(generation):
+        files.lay_over(generation, schemas.OBSERVATION_KEY)
+    else:
+        files.discard(generation)
+
+
 def compact_raw(store: Store) -> int:
     """Fold the layers of past upserts into the folders they touch; returns the number of those folders.
 

@@ -94,35 +94,58 @@ def observation_rows(
     )
 
 
-def sorted_pages(
+def judged_rows(
     pages: DataFrame, collected_at: datetime | Column, source: str = "usgs_daily",
     names: dict[str, str] = METRIC_BY_CODE,
-) -> tuple[DataFrame, DataFrame]:
-    """(observation rows, rejects) of landed pages (page, path): nothing is lost, and nothing stops the load.
+) -> DataFrame:
+    """Observation rows of landed pages (page, path) and, among them, what can't be loaded: nothing is lost, and
+    nothing stops the load.
 
-    Rejected with their path, the reason and their text are pages that are not the expected JSON, and features
-    without an entity, a parameter or a date.  A null page is none.  Rows may repeat a key.
+    ``reason`` is null for an observation.  Pages that are not the expected JSON, and features without an entity, a
+    parameter or a date have one, beside their ``path`` and their text as ``content``.  A null page is none.  Rows may
+    repeat a key.  A page is parsed once for both.
     """
     expected = T.StructType([*schemas.OBSERVATION_PAGE.fields, T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json("page", expected, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    read = pages.filter(F.col("page").isNotNull()).withColumn("_page", parsed)
     fault = (
         F.when(F.col("_page").isNull() | F.col("_page._corrupt").isNotNull(), "malformed page")
         .when(F.col("_page.features").isNull(), "no features")
     )
-    read = read.withColumn("reason", fault)
-    bad_pages = read.filter(F.col("reason").isNotNull()).select("path", "reason", F.col("page").alias("content"))
+    read = pages.filter(F.col("page").isNotNull()).withColumn("_page", parsed).withColumn("_fault", fault)
+    # a faulty page goes on as one feature without content
+    nothing = F.array(F.lit(None).cast(schemas.OBSERVATION_FEATURE))
+    faulty = F.col("_fault").isNotNull()
     carried = [c for c in pages.columns if c != "page"]
-    feature = read.filter(F.col("reason").isNull()).select(*carried, F.explode("_page.features").alias("_feature"))
-    rows = observation_rows(feature.select(*carried, "_feature.*"), collected_at, source, names, kept=("path",))
-    lacks = (
-        F.when(F.col("entity_id").isNull(), "no entity")
+    feature = read.select(
+        *carried, "_fault", F.when(faulty, F.col("page")).alias("_text"),
+        F.explode(F.when(faulty, nothing).otherwise(F.col("_page.features"))).alias("_feature"))
+    rows = observation_rows(
+        feature.select(*carried, "_fault", "_text", "_feature.*"), collected_at, source, names,
+        kept=("path", "_fault", "_text"))
+    reason = (
+        F.when(F.col("_fault").isNotNull(), F.col("_fault"))
+        .when(F.col("entity_id").isNull(), "no entity")
         .when(F.col("parameter_code").isNull(), "no parameter")
         .when(F.col("observed_at").isNull(), "no date")
     )
-    rows = rows.withColumn("reason", lacks)
-    bad_rows = rows.filter(F.col("reason").isNotNull()).select("path", "reason", F.col("raw_payload").alias("content"))
-    return rows.filter(F.col("reason").isNull()).drop("path", "reason"), bad_pages.unionByName(bad_rows)
+    rejected = F.col("reason").isNotNull()
+    text = F.when(F.col("_fault").isNotNull(), F.col("_text")).otherwise(F.col("raw_payload"))
+    return rows.withColumn("reason", reason).select(
+        *[c for c in rows.columns if c not in ("path", "_fault", "_text")],
+        "reason", F.when(rejected, F.col("path")).alias("path"), F.when(rejected, text).alias("content"))
+
+
+def sorted_pages(
+    pages: DataFrame, collected_at: datetime | Column, source: str = "usgs_daily",
+    names: dict[str, str] = METRIC_BY_CODE,
+) -> tuple[DataFrame, DataFrame]:
+    """(observation rows, rejects) of landed pages, see :func:`judged_rows`."""
+    return split_judged(judged_rows(pages, collected_at, source, names))
+
+
+def split_judged(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    fine = F.col("reason").isNull()
+    return judged.filter(fine).drop("reason", "path", "content"), judged.filter(~fine).select("path", "reason", "content")
 
 
 def station_rows(feature_rows: DataFrame) -> DataFrame:

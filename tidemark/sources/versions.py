@@ -106,6 +106,10 @@ class Versioned:
         save(df, self._folder(generation))
         return generation
 
+    def holds_rows(self, generation: int) -> bool:
+        """Whether a written generation of a frame with partitions has any folder: empty ones are not made."""
+        return bool(self._folders(generation))
+
     def discard(self, generation: int) -> None:
         self._fs.delete(self._at(f"gen={generation:06d}"), True)
 
@@ -183,16 +187,20 @@ class Versioned:
         if not version.layers:
             return self._open(folders, schema, load).select(*names) if folders else self.spark.createDataFrame([], schema)
         over = self._layers(version, schema)
-        rows = self._open(folders + [self._folder(g) for g, _ in version.layers], over.schema)
         keyed = {g: key for g, key in version.layers if key}
-        if not keyed:
-            return rows.select(*names)
+        # nothing lies over the rows of the last keyed layer and those added since: they meet no keys
+        last = max(keyed, default=0)
+        top = self._open([self._folder(g) for g, _ in version.layers if g >= last], over.schema).select(*names)
+        folders += [self._folder(g) for g, _ in version.layers if g < last]
+        if not keyed or not folders:
+            return self._open(folders, over.schema).select(*names).unionByName(top) if folders else top
+        rows = self._open(folders, over.schema)
         key = next(iter(keyed.values()))
         newest = (over.filter(F.col("gen").isin(list(keyed))).groupBy(*key).agg(F.max("gen").alias("_newest"))
                   .select(*[F.col(c).alias(f"_key_{c}") for c in key], "_newest"))
         same = reduce(and_, [rows[c].eqNullSafe(newest[f"_key_{c}"]) for c in key])
-        return (rows.join(newest, same, "left").filter(F.col("_newest").isNull() | (F.col("gen") >= F.col("_newest")))
-                .select(*names))
+        below = rows.join(newest, same, "left").filter(F.col("_newest").isNull() | (F.col("gen") >= F.col("_newest")))
+        return below.select(*names).unionByName(top)
 
 
 def touching(df: DataFrame, columns: list[str]) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import schemas
 from tidemark.operators.upsert import newest_revisions
-from tidemark.plans.build import Store, compact_raw, sync_rows
+from tidemark.plans.build import Store, compact_raw, sync_revisions
+from tidemark.session import remove, shared_dir
 from tidemark.sources import sinks
-from tidemark.sources.landed import METRIC_BY_CODE, sorted_pages
+from tidemark.sources.landed import METRIC_BY_CODE, judged_rows, split_judged
 
 
 def landed_observations(
@@ -53,7 +56,8 @@ def upsert_stream(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            sync_rows(store, newest_revisions(batch), revisions=True)
+            with _staged(store, newest_revisions(schemas.conform(batch, schemas.RAW_OBSERVATIONS))) as rows:
+                sync_revisions(store, rows)
             _compact(store, compact_after)
 
     return _started(stream, load, checkpoint, available_now)
@@ -72,25 +76,36 @@ def upsert_page_stream(
     when = F.col("landed_at") if collected_at is None else collected_at
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            rows, rejects = sorted_pages(batch, when, source, names)
+        if batch.isEmpty():
+            return
+        # parsed once: each reject is a key of its own, so that one shuffle makes the rows unique and keeps all rejects
+        number = F.when(F.col("reason").isNotNull(), F.monotonically_increasing_id())
+        judged = judged_rows(batch, when, source, names).withColumn("_reject", number)
+        with _staged(store, newest_revisions(judged, apart=("_reject",)).drop("_reject")) as both:
+            rows, rejects = split_judged(both)
             rejects = rejects.select(F.lit(batch_id).cast("long").alias("batch_id"), "path", "reason", "content")
             if not rejects.isEmpty():
                 files = store.rejected_files()
                 if files.version() is None:
                     sinks.write_table(rejects.limit(0), store.path("rejected"))
                 files.lay_over(files.write(rejects, sinks.save_table()), ["batch_id"])
-            sync_rows(store, newest_revisions(rows), revisions=True)
-            _compact(store, compact_after)
-        finally:
-            batch.unpersist()
+            sync_revisions(store, rows)
+        _compact(store, compact_after)
 
     return _started(stream, load, checkpoint, available_now)
 
 
+@contextmanager
+def _staged(store: Store, rows: DataFrame) -> Iterator[DataFrame]:
+    """The frame written below the shared folder, as it is read several times; of the size of the batch."""
+    path = f"{shared_dir(store.spark)}/staged-{uuid4().hex}"
+    try:
+        rows.write.parquet(path)
+        yield store.spark.read.schema(rows.schema).parquet(path)
+    finally:
+        remove(store.spark, path)
+
+
 def _compact(store: Store, after: int) -> None:
     version = store.raw_files().version()
     if version is not None and len(version.layers) >= after:
