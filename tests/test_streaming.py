@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators.upsert import latest_wins, newest_revisions
 from tidemark.plans.build import Store
+from tidemark.sources.landed import judged_rows
 from tidemark.streaming.landing import landed_observations, landed_pages, upsert_page_stream, upsert_stream
 
 
@@ -156,3 +157,10 @@ def test_rows_of_the_newest_layer_meet_no_keys(spark, tmp_path):
     three = land(0.5, datetime(2024, 2, 3), range(8, 10))
     assert {r.observed_at.day: r.value for r in three.collect()} == {1: 1.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: 2.0, 6: 2.0, 7: 2.0, 8: 0.5, 9: 0.5}
     assert three.count() == 9 and len(store.raw_files().version().layers) == 3
+
+
+def test_a_page_and_its_properties_are_parsed_once_for_rows_and_rejects(spark):
+    pages = spark.range(3).selectExpr("'{}' || id AS page", "'p' || id AS path")
+    judged = judged_rows(pages, datetime(2024, 2, 1))
+    plan = newest_revisions(judged, apart=("reason",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
