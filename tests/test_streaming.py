@@ -7,6 +7,7 @@ from tidemark import schemas
 from tidemark.operators.upsert import latest_wins, newest_revisions
 from tidemark.plans.build import Store
 from tidemark.sources.landed import judged_rows
+from tidemark.sources.sinks import write_raw
 from tidemark.streaming.landing import landed_observations, landed_pages, upsert_page_stream, upsert_stream
 
 
@@ -164,3 +165,32 @@ def test_a_page_and_its_properties_are_parsed_once_for_rows_and_rejects(spark):
     judged = judged_rows(pages, datetime(2024, 2, 1))
     plan = newest_revisions(judged, apart=("reason",))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 2
+
+
+def test_a_layer_of_one_folder_is_written_by_several_tasks(spark, tmp_path):
+    text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(k)), 256) for k in "ab"])
+    some = spark.range(100_000).select(
+        F.lit("s").alias("source"), F.concat(F.lit("e"), F.col("id") % 5000).alias("entity_id"), F.lit(date(2024, 1, 1)).alias("observed_at"),
+        F.lit("flow").alias("metric"), F.col("id").cast("string").alias("parameter_code"), text.alias("raw_payload"))
+    write_raw(schemas.conform(some.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.RAW_OBSERVATIONS if f.name not in some.columns]), schemas.RAW_OBSERVATIONS), str(tmp_path / "store" / "raw_observations"))
+    stored = Store(spark, str(tmp_path / "store")).raw()
+    assert len(list(tmp_path.glob("store/raw_observations/gen=*/metric=flow/year=2024/*.parquet"))) > 1
+    assert stored.count() == 100_000 and stored.select("entity_id").distinct().count() == 5000
+    # all rows of a series lie in one file, in order
+    placed = stored.select("entity_id", F.input_file_name().alias("file")).distinct().groupBy("entity_id").agg(F.count("*").alias("files"))
+    assert placed.filter("files > 1").isEmpty()
+
+
+def test_keys_of_the_oldest_rows_are_not_asked_for(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for value, seen, days in ((1.0, datetime(2024, 2, 1), range(1, 6)), (2.0, datetime(2024, 2, 2), range(4, 9))):
+        landing = str(tmp_path / "landing")
+        spark.createDataFrame(rows(value, seen, days), schemas.RAW_OBSERVATIONS).coalesce(1).write.mode("append").parquet(landing)
+        upsert_stream(landed_observations(spark, landing), store, str(tmp_path / "progress")).awaitTermination()
+    version = store.raw_files().version()
+    assert not version.parts and len(version.layers) == 2
+    found = store.raw()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan[plan.index("Aggregate"):]
+    assert f"= {version.layers[1][0]})" in aggregate and " IN (" not in aggregate
+    assert {r.observed_at.day: r.value for r in found.collect()} == {1: 1.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: 2.0, 6: 2.0, 7: 2.0, 8: 2.0}

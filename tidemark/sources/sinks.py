@@ -9,15 +9,19 @@ from tidemark.sources.versions import Save, Versioned
 
 LAYOUT = ["metric", "year"]
 
+#: Parts of a partition folder that may become a task and a file each, so that few folders do not mean few tasks.
+PARTS = 4
+
 
 def laid_out(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows gathered by partition folder and sorted for row-group skipping.
+    """Rows gathered by partition folder, and by part of its first sort column, and sorted for row-group skipping.
 
-    The rebalance hint lets adaptive execution split a folder that is too large for
+    The rebalance hint lets adaptive execution split a part that is too large for
     one task and merge the small ones, which a plain repartition by metric and year
     could not: there are only as many of those as metrics times years.
     """
-    return df.hint("rebalance", *LAYOUT).sortWithinPartitions(*LAYOUT, *order)
+    part = F.pmod(F.xxhash64(order[0]), F.lit(PARTS))
+    return df.withColumn("_part", part).hint("rebalance", *LAYOUT, "_part").drop("_part").sortWithinPartitions(*LAYOUT, *order)
 
 
 def save_layer(order: list[str]) -> Save:

@@ -196,7 +196,9 @@ class Versioned:
             return self._open(folders, over.schema).select(*names).unionByName(top) if folders else top
         rows = self._open(folders, over.schema)
         key = next(iter(keyed.values()))
-        newest = (over.filter(F.col("gen").isin(list(keyed))).groupBy(*key).agg(F.max("gen").alias("_newest"))
+        # the oldest rows replace none
+        oldest = min([*version.parts.values(), *(g for g, _ in version.layers)])
+        newest = (over.filter(F.col("gen").isin([g for g in keyed if g > oldest])).groupBy(*key).agg(F.max("gen").alias("_newest"))
                   .select(*[F.col(c).alias(f"_key_{c}") for c in key], "_newest"))
         same = reduce(and_, [rows[c].eqNullSafe(newest[f"_key_{c}"]) for c in key])
         below = rows.join(newest, same, "left").filter(F.col("_newest").isNull() | (F.col("gen") >= F.col("_newest")))
