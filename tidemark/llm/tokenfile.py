@@ -26,6 +26,7 @@ from tidemark.llm.common import fresh_path, staged
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _BLANK = chr(_BYTE_LETTERS[32])
+_MET = 1 << 22  # places to note a word met once, a byte each; a word that shares its place with another is kept early
 _FILES = ("part int, file_no int, path string, index_path string, n_tokens long, n_documents long")
 
 
@@ -33,7 +34,7 @@ _FILES = ("part int, file_no int, path string, index_path string, n_tokens long,
 class TokenFileParams:
     """Sequences of ``length`` ids; ``batch`` of them per record batch; a file ends after ``file_tokens`` ids.
 
-    ``cached_words`` bounds the memory of the tokens of words already met by a worker process.
+    ``cached_words`` bounds the memory of the tokens of words that a worker process has met more than once.
     """
 
     tokenizer: str
@@ -59,6 +60,7 @@ class CachedEncoder:
     The tokenizer never merges across the blank or newline between two words, so the ids of a text are those of its
     words, each with what stands before it.  Texts with other or doubled white space, with white space at
     an end, with NUL or with a special token go to the tokenizer whole.  So do all texts where the tokenizer works otherwise.
+    A word is kept from the second time it has to be learned: most words of a text come once, and would fill the memory.
     """
 
     def __init__(self, p: TokenFileParams):
@@ -71,6 +73,7 @@ class CachedEncoder:
         self.newline = self._ids("\n") if self.by_word else b""
         self.points = {c: self._ids(c) for c in ".,"} if self.by_word else {}
         self.known: dict[str, bytes] = {}
+        self.met = bytearray(_MET)
         self.limit = p.cached_words
 
     def _ids(self, text: str) -> bytes:
@@ -113,6 +116,14 @@ class CachedEncoder:
             new[w] = (new.get(w[:-1]) or self.known[w[:-1]]) + self.points[w[-1]]
         return new
 
+    def _keep(self, new: dict[str, bytes]) -> None:
+        for word, ids in new.items():
+            place = hash(word) % _MET
+            if self.met[place]:
+                self.known[word] = ids
+            else:
+                self.met[place] = 1
+
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.by_word:
@@ -137,7 +148,7 @@ class CachedEncoder:
         if missing:
             new = self._learned(missing)
             if len(self.known) < self.limit:
-                self.known.update(new)
+                self._keep(new)
             for k, (found, holes) in parted.items():
                 for i, w in holes:
                     found[i] = new[w]
